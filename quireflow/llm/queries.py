@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quireflow.llm.bpe_codec import bpe_round_trip
+from quireflow.llm.simhash_dedup import simhash_groups
+from quireflow.llm.substring_dedup import substring_dedup
 from quireflow.llm.token_counts import token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(documents(spark, sf_dir), shingle=3, bits=2)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), BYTE_BPE, limit=512)
 
@@ -23,6 +29,15 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), BYTE_BPE)
 
 
-QUERIES = {"op8_token_counts": op8_token_counts, "op9_bpe_codec": op9_bpe_codec}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir), size=50)
+
+
+QUERIES = {
+    "op4_simhash_groups": op4_simhash_groups,
+    "op8_token_counts": op8_token_counts,
+    "op9_bpe_codec": op9_bpe_codec,
+    "op10_substring_dedup": op10_substring_dedup,
+}
 
 ORACLE: dict[str, str] = {}
