@@ -4,23 +4,48 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quireflow.llm.bin_packing import packed_documents
 from quireflow.llm.bpe_codec import bpe_round_trip
+from quireflow.llm.line_dedup import line_dedup
+from quireflow.llm.pii_surrogates import pseudonymize
+from quireflow.llm.quality_rules import verdicts
 from quireflow.llm.simhash_dedup import simhash_groups
 from quireflow.llm.substring_dedup import substring_dedup
 from quireflow.llm.token_counts import token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: A real run passes a secret of its own.
+DEMO_KEY = "not a secret: results of this query are published"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(documents(spark, sf_dir), DEMO_KEY).select("doc_id", "n_entities", "text")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(documents(spark, sf_dir), WORD_BPE, capacity=4096, end_id=1)
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir), shingle=3, bits=2)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(documents(spark, sf_dir)).drop("t").withColumnRenamed("k", "doc_id")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup(documents(spark, sf_dir), min_sites=10)
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), BYTE_BPE, limit=512)
 
@@ -34,10 +59,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_groups": op4_simhash_groups,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), trimmed AS (
+  SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS x FROM lines
+), common AS (
+  SELECT x, min(doc_id) AS owner FROM trimmed WHERE x <> '' GROUP BY x HAVING count(DISTINCT site) >= 10
+)
+SELECT doc_id, count(*) FILTER (x <> '') AS n_lines, count(*) FILTER (doc_id > owner) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (owner IS NULL OR doc_id <= owner), '')) AS kept_sha256
+FROM trimmed LEFT JOIN common USING (x) GROUP BY doc_id
+""",
+}
