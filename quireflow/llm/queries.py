@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.bin_packing import packed_documents
 from quireflow.llm.bpe_codec import bpe_round_trip
+from quireflow.llm.code_search import sign_codes, top_k
 from quireflow.llm.line_dedup import line_dedup
 from quireflow.llm.pii_surrogates import pseudonymize
 from quireflow.llm.quality_rules import verdicts
@@ -46,6 +47,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes of every vector whose id is divisible by 20."""
+    codes = sign_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return top_k(codes, codes.where("id % 20 = 0"), k=10)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), BYTE_BPE, limit=512)
 
@@ -64,6 +71,7 @@ QUERIES = {
     "op4_simhash_groups": op4_simhash_groups,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op7_code_search": op7_code_search,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_substring_dedup": op10_substring_dedup,
@@ -82,5 +90,15 @@ WITH lines AS (
 SELECT doc_id, count(*) FILTER (x <> '') AS n_lines, count(*) FILTER (doc_id > owner) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (owner IS NULL OR doc_id <= owner), '')) AS kept_sha256
 FROM trimmed LEFT JOIN common USING (x) GROUP BY doc_id
+""",
+    "op7_code_search": """
+WITH codes AS (
+  SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS c FROM embeddings
+), ranked AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS neighbor_id, hamming(q.c, x.c) AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY hamming(q.c, x.c), x.vec_id) AS rank
+  FROM codes q JOIN codes x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id
+)
+SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
 """,
 }
