@@ -114,8 +114,8 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     wanted = asked.select(F.col("c").alias("q")).distinct()
     n_codes, n_wanted = codes.count(), wanted.count()
     blocks, parts = max(1, ceil(n_codes / ROWS)), max(1, ceil(n_wanted / QUERIES), min(8, ceil(n_wanted / 200)))
-    left = codes.withColumn("b", F.pmod(F.xxhash64("c"), F.lit(blocks))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = wanted.withColumn("p", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    left = codes.withColumn("b", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = wanted.withColumn("p", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     near = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(_search(least), "q long, c long, d long")
     best = Window.partitionBy("q").orderBy("d", "id")
     merged = near.join(ids, "c").withColumn("r", F.row_number().over(best)).where(F.col("r") <= least).select("q", "d", "id")
