@@ -10,6 +10,7 @@ from quireflow.llm.bin_packing import packed_documents
 from quireflow.llm.bpe_codec import bpe_round_trip
 from quireflow.llm.code_search import sign_codes, top_k
 from quireflow.llm.line_dedup import line_dedup
+from quireflow.llm.lm_scoring import lm_scores
 from quireflow.llm.pii_surrogates import pseudonymize
 from quireflow.llm.quality_rules import verdicts
 from quireflow.llm.simhash_dedup import simhash_groups
@@ -26,6 +27,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir), modulus=7, held_out=2)
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(documents(spark, sf_dir), DEMO_KEY).select("doc_id", "n_entities", "text")
 
@@ -66,6 +71,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_pii_surrogates": op2_pii_surrogates,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_groups": op4_simhash_groups,
