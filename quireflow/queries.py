@@ -1,4 +1,378 @@
-"""Queries over the reference's operators and their SQL."""
+"""Queries over the document operators, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quireflow.functions import text as T
+from quireflow.operators import dom, gates, pairing, registers, state
+from quireflow.plans.spine import classified
+
+IDREFS = "cover titlepage copyright dedication toc part chap chap notes acknowledgments author promo".split()
+SPACE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0085}\x{0b}\x{1c}-\x{1f}]"
+HAN = r"[\x{4e00}-\x{9fff}]"
+
+
+def sql_clean(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{SPACE}+', ' ', 'g'), ' ')"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no from 0, line) of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+LINES = """lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
+)"""
+
+
+def whitespace_clean(spark, sf_dir):
+    c = T.clean(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(c.cast("binary")).alias("cleaned_md5"), F.length(c).alias("n"))
+
+
+def first_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.first_text(F.col("text")).alias("first_text"))
+
+
+def url_basename(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.basename(F.col("url")).alias("name"))
+
+
+def english_lines(spark, sf_dir):
+    return lines(spark, sf_dir).select("doc_id", "line_no", T.is_english(F.col("line")).alias("english"))
+
+
+IS_ENGLISH = f"(length(line) >= 50 AND NOT regexp_matches(line, '{HAN}') AND length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= greatest(20, floor(length(line) * CAST(0.35 AS DOUBLE))))"
+
+
+def identifiers(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]")).alias("w")).distinct()
+    w = F.when(F.length("w") % 3 == 0, F.concat("w", F.lit("_n"))).otherwise(F.col("w"))
+    return words.select("w", T.is_identifier(w).alias("is_identifier"), T.safe_uid(w).alias("uid"))
+
+
+def ensured_han(spark, sf_dir):
+    target = F.when(F.col("doc_id") % 2 == 0, F.lit("譯譯譯")).otherwise(F.col("line"))
+    return lines(spark, sf_dir).select("doc_id", "line_no", F.md5(T.ensure_han(target, F.col("line")).cast("binary")).alias("target_md5"))
+
+
+def hash_carryover(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.short_hash(F.col("text")).alias("hash"), T.carryover(F.col("text")).alias("carryover"))
+
+
+def carryover_for(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    chapters = c.select(F.col("conv_id").alias("book_id"), F.col("turn").cast("string").alias("chapter_id"), F.when(F.col("role") == "assistant", "done").otherwise("pending").alias("status"), T.carryover(F.col("text")).alias("carryover"))
+    return state.carryover_for(chapters).select("book_id", "chapter_id", "previous_carryover")
+
+
+def spine(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("book_id"), "html")
+    p = p.withColumn("pos", F.row_number().over(Window.partitionBy("book_id").orderBy("page_id")))
+    p = p.withColumn("idref", F.get(F.array(*map(F.lit, IDREFS)), (F.col("pos") - 1) % len(IDREFS)))
+    heading = F.when(F.col("idref") == "part", "PART I").when(F.col("idref") == "chap", F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)).otherwise("")
+    p = p.select("book_id", "pos", "idref", F.concat(F.lit("text/p_"), "pos", F.lit(".xhtml")).alias("href"), F.lit("").alias("properties"), heading.alias("heading"), F.lit("").alias("text"), (F.col("page_id") * 37 % 600).cast("int").alias("char_count"))
+    return classified(p)
+
+
+def spine_entries(spark, sf_dir):
+    return spine(spark, sf_dir).select("book_id", "pos", "id", "role", "output_strategy", "parent_id", "translation_id", "first_heading")
+
+
+_HEAD = "regexp_matches(heading, '^(?:Dedicated to |For my |For the |In memory of |To my |To the )')"
+SPINE = f"""base AS (
+  SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS book_id, html, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1) ORDER BY page_id) AS pos FROM pages
+), named AS (
+  SELECT *, [{', '.join(f"'{x}'" for x in IDREFS)}][1 + (pos - 1) % {len(IDREFS)}] AS idref, (page_id * 37) % 600 AS chars FROM base
+), headed AS (
+  SELECT *, CASE WHEN idref = 'part' THEN 'PART I' WHEN idref = 'chap' THEN regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) ELSE '' END AS heading FROM named
+), roles AS (
+  SELECT *, CASE
+    WHEN idref = 'cover' THEN 'cover' WHEN idref = 'titlepage' THEN 'title_page' WHEN idref = 'copyright' THEN 'copyright' WHEN idref = 'dedication' THEN 'dedication'
+    WHEN starts_with(heading, 'Copyright ©') OR starts_with(heading, 'Copyright (c)') OR contains(lower(left(heading, 40)), 'all rights reserved') THEN 'copyright'
+    WHEN {_HEAD} THEN 'dedication'
+    WHEN idref = 'toc' THEN 'contents' WHEN regexp_matches(heading, '(?i)^\\s*part\\s*([ivxlcdm]+|\\d+)\\b') THEN 'part_divider'
+    WHEN idref = 'acknowledgments' THEN 'acknowledgments' WHEN idref = 'notes' THEN 'notes' WHEN idref = 'author' THEN 'about_author' WHEN idref = 'promo' THEN 'promo' ELSE 'body' END AS role
+  FROM headed
+), plans AS (
+  SELECT *, 'item_' || lpad(CAST(pos AS VARCHAR), CAST(greatest(3, length(CAST(pos AS VARCHAR))) AS INT), '0') AS id, CASE
+    WHEN role = 'body' AND chars = 0 THEN 'source_only'
+    WHEN role IN ('copyright', 'dedication', 'part_divider') AND chars >= 300 THEN 'translate'
+    WHEN role IN ('body', 'epilogue', 'acknowledgments', 'about_author', 'dedication') THEN 'translate' ELSE 'source_only' END AS output_strategy
+  FROM roles
+), chained AS (
+  SELECT *, last_value(CASE WHEN role = 'part_divider' THEN id WHEN role IN ('cover', 'title_page', 'copyright', 'dedication', 'contents', 'promo') THEN '' END IGNORE NULLS)
+      OVER (PARTITION BY book_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS chain,
+    sum(CASE WHEN output_strategy = 'translate' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY pos) AS k
+  FROM plans
+), entries AS (
+  SELECT book_id, pos, id, role, output_strategy,
+    CASE WHEN role IN ('body', 'epilogue', 'acknowledgments', 'about_author', 'notes') AND chain <> '' THEN chain END AS parent_id,
+    CASE WHEN output_strategy = 'translate' THEN 'ch_' || lpad(CAST(CAST(k AS BIGINT) AS VARCHAR), CAST(greatest(2, length(CAST(CAST(k AS BIGINT) AS VARCHAR))) AS INT), '0') END AS translation_id,
+    coalesce(nullif(heading, ''), map_extract(MAP {{'cover': 'Cover', 'title_page': 'Title Page', 'copyright': 'Copyright', 'dedication': 'Dedication', 'contents': 'Contents', 'notes': 'Notes', 'about_author': 'About the Author', 'acknowledgments': 'Acknowledgments', 'promo': 'Promotional'}}, role)[1], '(untitled)') AS first_heading
+  FROM chained
+)"""
+
+
+def nav_tree(spark, sf_dir):
+    t = pairing.children(spine(spark, sf_dir))
+    return t.select("book_id", "pos", "label", F.array_join("children", "|").alias("children"))
+
+
+def nav_labels(spark, sf_dir):
+    e = spine(spark, sf_dir)
+    label = pairing.nav_label(F.col("first_heading"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return e.select("book_id", "pos", label.alias("label"), pairing.display_label(F.col("first_heading"), label).alias("shown"))
+
+
+def heading_prose(spark, sf_dir):
+    h = T.clean(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1))
+    tried = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.repeat(h, F.lit(3))).otherwise(h).alias("heading"))
+    return tried.select("page_id", "heading", (F.length("heading").between(1, 120) & ~T.is_prose(F.col("heading"))).alias("accepted"))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    a = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
+    b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    return a.join(b, ["conv_id", "turn"])
+
+
+TURNS = """turns AS (
+  SELECT a.conv_id, a.turn, a.text AS source, b.text AS target FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'
+)"""
+
+
+def paragraph_checks(spark, sf_dir):
+    t = _turns(spark, sf_dir).withColumn("target", F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("Sorry, I can't do that. "), "target")).otherwise(F.col("target")))
+    n = lambda c: F.size(F.filter(F.split(c, r"[.\n]"), lambda x: T.strip(x) != ""))
+    return t.select("conv_id", "turn", F.array_join(gates.translation_warnings(n("source"), F.col("target"), n("target")), ",").alias("warnings"))
+
+
+def positional_pairs(spark, sf_dir):
+    t = _turns(spark, sf_dir).withColumn("item", F.concat_ws(":", "conv_id", "turn"))
+    nodes = pairing.numbered(t, "item", "source", r"\.").withColumn("tag", F.lit("p")).withColumn("strategy", F.when(F.regexp_extract("item", ":([0-9]+)$", 1).cast("int") % 4 == 2, "source_only").otherwise("translate"))
+    return pairing.pairs(nodes, pairing.numbered(t, "item", "target", r"\."))
+
+
+def _quality_pairs(spark, sf_dir) -> DataFrame:
+    words = F.repeat(F.lit("譯"), F.floor(F.length("line") * (F.col("doc_id") % 5) / 10).cast("int"))
+    target = F.when(F.col("line_no") % 13 != 12, F.concat(words, F.when(F.col("doc_id") % 11 == 0, "PARTII").otherwise("")))
+    tag = F.when(F.col("line_no") % 9 == 0, "h2").otherwise("p")
+    return lines(spark, sf_dir).select(F.col("doc_id").alias("book_id"), F.col("line_no").alias("seq"), F.lit("p").alias("path"), tag.alias("tag"), F.col("line").alias("text"), target.alias("target"))
+
+
+QUALITY = """quality AS (
+  SELECT doc_id AS book_id, line_no AS seq, line AS text, CASE WHEN line_no % 9 = 0 THEN 'h2' ELSE 'p' END AS tag,
+    CASE WHEN line_no % 13 <> 12 THEN repeat('譯', CAST(floor(length(line) * (doc_id % 5) / 10.0) AS INT)) || CASE WHEN doc_id % 11 = 0 THEN 'PARTII' ELSE '' END END AS target
+  FROM lines
+), failed AS (
+  SELECT book_id, 'translation_quality' AS audit, seq, 'no target: ' || left(text, 120) AS message FROM quality WHERE text <> '' AND target IS NULL
+  UNION ALL SELECT book_id, 'translation_quality', seq, 'too short: ' || left(text, 120) FROM quality WHERE text <> '' AND tag = 'p' AND length(text) >= 50 AND length(target) < CAST(0.22 AS DOUBLE) * length(text)
+  UNION ALL SELECT book_id, 'translation_quality', seq, 'banned: ' || b FROM quality, (SELECT unnest(['PARTI', 'PARTII']) AS b) WHERE contains(target, b)
+), uncovered AS (
+  SELECT q.book_id, 'bilingual_coverage' AS audit, q.seq, left(q.text, 120) AS message FROM quality q
+  WHERE @ENGLISH AND NOT coalesce(regexp_matches(target, '[\\x{4e00}-\\x{9fff}]'), false)
+    AND NOT EXISTS (SELECT 1 FROM lines e WHERE e.doc_id % 10 = 0 AND e.line = q.text)
+)""".replace("@ENGLISH", IS_ENGLISH.replace("line", "text"))
+
+
+def _exceptions(spark, sf_dir) -> DataFrame:
+    return lines(spark, sf_dir).where("doc_id % 10 = 0").select(F.col("line").alias("text")).distinct()
+
+
+def quality_gate(spark, sf_dir):
+    return gates.pair_failures(_quality_pairs(spark, sf_dir)).drop("path")
+
+
+def coverage_gate(spark, sf_dir):
+    return gates.coverage_failures(_quality_pairs(spark, sf_dir), _exceptions(spark, sf_dir)).drop("path")
+
+
+def audit_suite(spark, sf_dir):
+    pairs = _quality_pairs(spark, sf_dir)
+    done = gates.suite(pairs.select("book_id"), gates.pair_failures(pairs), gates.coverage_failures(pairs, _exceptions(spark, sf_dir)))
+    return done.select("book_id", "audit", "status", "n_failures")
+
+
+def suite_passed(spark, sf_dir):
+    pairs = _quality_pairs(spark, sf_dir)
+    return gates.all_passed(gates.suite(pairs.select("book_id"), gates.pair_failures(pairs), gates.coverage_failures(pairs, _exceptions(spark, sf_dir))))
+
+
+SUITE = """suite AS (
+  SELECT b.book_id, a.audit, CASE WHEN count(f.seq) > 0 THEN 'fail' ELSE 'pass' END AS status, count(f.seq) AS n_failures
+  FROM (SELECT DISTINCT book_id FROM quality) b CROSS JOIN (SELECT unnest(['structural', 'bilingual_coverage', 'translation_quality', 'href_resolve']) AS audit) a
+  LEFT JOIN (SELECT * FROM failed UNION ALL SELECT * FROM uncovered) f ON f.book_id = b.book_id AND f.audit = a.audit GROUP BY ALL
+)"""
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+/(.*)$", 1).alias("path"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("seq", "href"))
+    odd = F.when(F.col("seq") % 5 == 1, F.concat("href", F.lit("#top"))).when(F.col("seq") % 5 == 2, F.concat(F.lit("./"), F.regexp_replace("href", "^/", ""))).otherwise(F.col("href"))
+    return p.withColumn("href", odd)
+
+
+def href_resolve(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "seq", "href", T.resolve_href(F.col("path"), F.col("href")).alias("name"))
+
+
+def href_gate(spark, sf_dir):
+    found = _links(spark, sf_dir).withColumn("book_id", F.lit(1))
+    resolved = found.select("book_id", T.resolve_href(F.col("path"), F.col("href")).alias("name")).where("name is not null and length(name) % 2 = 0").distinct()
+    return gates.href_failures(found, resolved).select("path", "seq", "message")
+
+
+def register_match(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", "source").distinct()
+    flavour = F.when(F.col("lang") == "en", "Plain").when(F.col("lang") == "fr", "記事 narrative").when(F.col("lang") == "de", "precise").otherwise("")
+    asked = d.withColumn("requested", F.concat_ws(" ", flavour, "source"))
+    hints = spark.createDataFrame([(1, "fiction", "literary plain prose", 0.22, []), (2, "narrative", "social narrative", 0.22, []), (3, "academic", "src1 precise", 0.30, [])], registers.REGISTER)
+    return registers.matched(asked, hints).select("lang", "source", "register_id", "min_length_ratio")
+
+
+EVENTS = {"click": "pending", "view": "source_ready", "purchase": "done", "error": "failed", "signup": "dropped"}
+
+
+def chapter_events(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    names = F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])
+    return e.select(F.lit("b").alias("book_id"), F.col("user_id").cast("string").alias("chapter_id"), F.col("event_id").alias("seq"), names[F.col("event_type")].alias("event"), F.col("props").alias("text"), F.col("props").alias("error"), F.col("event_type").alias("reason"))
+
+
+def state_fold(spark, sf_dir):
+    return state.fold(chapter_events(spark, sf_dir)).drop("book_id")
+
+
+def resume_set(spark, sf_dir):
+    return state.to_run(state.fold(chapter_events(spark, sf_dir))).select("chapter_id", "status", "retry_count")
+
+
+def status_counts(spark, sf_dir):
+    return state.fold(chapter_events(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("chapter_id")), ",").alias("ids"))
+
+
+def invalid_states(spark, sf_dir):
+    s = state.fold(chapter_events(spark, sf_dir))
+    odd = F.col("chapter_id").cast("int")
+    s = s.withColumn("status", F.when(odd % 5 == 0, "skipped").otherwise(F.col("status"))).withColumn("reason", F.when(odd % 3 == 0, " ").otherwise(F.col("reason")))
+    return state.invalid(s).drop("book_id")
+
+
+FOLD = f"""e AS (
+  SELECT CAST(user_id AS VARCHAR) AS chapter_id, event_id AS seq, props, event_type, map_extract(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in EVENTS.items())}}}, event_type)[1] AS event FROM events
+), marked AS (
+  SELECT *, max(CASE WHEN event <> 'failed' THEN seq END) OVER (PARTITION BY chapter_id) AS reset FROM e
+), folded AS (
+  SELECT chapter_id, arg_max(event, seq) AS status, arg_max(props, seq) AS props, arg_max(event_type, seq) AS kind, bool_or(event = 'dropped') AS gone,
+    count(*) FILTER (event = 'failed' AND (reset IS NULL OR seq > reset)) AS retry_count,
+    arg_min(CASE event WHEN 'done' THEN 'translate' WHEN 'source_ready' THEN 'source_only' END, seq) FILTER (event IN ('done', 'source_ready')) AS strategy
+  FROM marked GROUP BY chapter_id
+), states AS (
+  SELECT chapter_id, CASE WHEN gone THEN 'drop_explicit' ELSE strategy END AS output_strategy, status,
+    CASE WHEN status = 'done' THEN left(sha256(props), 12) END AS translation_hash, CASE WHEN status = 'done' THEN right(props, 200) END AS carryover, retry_count,
+    CASE WHEN status = 'failed' THEN props END AS error, CASE WHEN status = 'dropped' THEN kind END AS reason FROM folded
+)"""
+
+
+def language_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("code")).distinct().select("code", T.language_name(F.when(F.col("code") == "de", "ZH-TW").otherwise(F.col("code"))).alias("name"))
+
+
+def _nodes(spark, sf_dir) -> DataFrame:
+    return dom.shred(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+def dom_text_nodes(spark, sf_dir):
+    return dom.text_nodes(_nodes(spark, sf_dir))
+
+
+def dom_blocks(spark, sf_dir):
+    return dom.blocks(_nodes(spark, sf_dir))
+
+
+def dom_links(spark, sf_dir):
+    return dom.links(_nodes(spark, sf_dir))
+
+
+def dom_uncovered(spark, sf_dir):
+    return dom.uncovered(_nodes(spark, sf_dir))
+
+
+def chapter_prompts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    rules = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("Short sentences."), F.lit("Plain words."))).otherwise(F.array().cast("array<string>"))
+    n = F.size(F.split("text", "\n"))
+    p = registers.prompt(F.col("turn").cast("string"), F.col("conv_id").cast("string"), T.language_name(F.lit("ja")), F.lit("{}"), F.lit(""), F.when(F.col("turn") > 0, "before"), F.col("text"), n, rules, F.lit(None).cast("string"))
+    return c.select("conv_id", "turn", p.alias("prompt"))
+
+
+QUERIES = {f.__name__: f for f in (whitespace_clean, first_text, url_basename, english_lines, identifiers, ensured_han, hash_carryover, carryover_for, spine_entries, nav_tree, nav_labels, heading_prose, paragraph_checks, positional_pairs, quality_gate, coverage_gate, audit_suite, suite_passed, href_resolve, href_gate, register_match, state_fold, resume_set, status_counts, invalid_states, language_names, dom_text_nodes, dom_blocks, dom_links, dom_uncovered, chapter_prompts)}
+
+_NAV = "(output_strategy NOT IN ('drop_explicit', 'nav_generated') AND role <> 'nav')"
+_LABELS = ", ".join(f"'{k.replace(chr(39), chr(39) * 2)}': '{v}'" for k, v in (pairing.STRUCTURAL | pairing.CONTENTS).items())
+_IDENT = lambda w: f"(regexp_matches({w}, '^[._A-Za-z0-9-]{{6,}}$') AND regexp_matches({w}, '[_0-9]'))"
+_W = "(CASE WHEN length(w) % 3 = 0 THEN w || '_n' ELSE w END)"
+_SPLIT = lambda c: f"list_filter(list_transform(string_split_regex({c}, '\\.'), lambda x: regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g')), lambda x: x <> '')"
+_LINKS = """links AS (
+  SELECT page_id, path, seq, CASE WHEN seq % 5 = 1 THEN h || '#top' WHEN seq % 5 = 2 THEN './' || regexp_replace(h, '^/', '') ELSE h END AS href
+  FROM (SELECT page_id, regexp_extract(url, '^https?://[^/]+/(.*)$', 1) AS path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS seq FROM pages)
+), targets AS (
+  SELECT *, split_part(href, '#', 1) AS t, regexp_replace(path, '/*[^/]*$', '') AS dir FROM links
+), resolved AS (
+  SELECT page_id, path, seq, href, CASE WHEN NOT regexp_matches(href, '(?i)^(https?|mailto|tel|urn|doi):') AND t <> '' THEN
+    regexp_replace(CASE WHEN starts_with(t, '/') OR dir = '' THEN regexp_replace(t, '^\\./', '') ELSE dir || '/' || regexp_replace(t, '^\\./', '') END, '(.)/+$', '\\1') END AS name FROM targets
+)"""
+
+ORACLE = {
+    "whitespace_clean": f"SELECT doc_id, md5({sql_clean('text')}) AS cleaned_md5, length({sql_clean('text')}) AS n FROM documents",
+    "first_text": f"SELECT doc_id, nullif(left({sql_clean('text')}, 80), '') AS first_text FROM documents",
+    "url_basename": "SELECT page_id, string_split(url, '/')[-1] AS name FROM pages",
+    "english_lines": f"WITH {LINES} SELECT doc_id, line_no, {IS_ENGLISH} AS english FROM lines",
+    "identifiers": f"SELECT w, {_IDENT(_W)} AS is_identifier, regexp_replace({_W}, '[^A-Za-z0-9_]+', '_', 'g') AS uid FROM (SELECT DISTINCT unnest(string_split_regex(text, '[ \\n]')) AS w FROM documents)",
+    "ensured_han": f"WITH {LINES}, t AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN '譯譯譯' ELSE line END AS target FROM lines) SELECT doc_id, line_no, md5(CASE WHEN regexp_matches(target, '{HAN}') OR {_IDENT('line')} THEN target ELSE '譯文：' || target END) AS target_md5 FROM t",
+    "hash_carryover": "SELECT conv_id, turn, left(sha256(text), 12) AS hash, right(text, 200) AS carryover FROM conversations",
+    "carryover_for": "SELECT conv_id AS book_id, CAST(turn AS VARCHAR) AS chapter_id, coalesce(last_value(CASE WHEN role = 'assistant' THEN right(text, 200) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY CAST(turn AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS previous_carryover FROM conversations",
+    "spine_entries": f"WITH {SPINE} SELECT * FROM entries",
+    "nav_tree": f"""WITH {SPINE}, shown AS (SELECT * FROM entries WHERE {_NAV}), placed AS (
+  SELECT s.*, p.id IS NOT NULL AS nested FROM shown s LEFT JOIN shown p ON p.book_id = s.book_id AND p.id = s.parent_id AND p.role = 'part_divider')
+SELECT t.book_id, t.pos, t.first_heading AS label, coalesce((SELECT string_agg(c.first_heading, '|' ORDER BY c.pos) FROM placed c WHERE c.nested AND c.book_id = t.book_id AND c.parent_id = t.id), '') AS children FROM placed t WHERE NOT t.nested""",
+    "nav_labels": f"""WITH {SPINE}, l AS (SELECT *, coalesce(map_extract(MAP {{{_LABELS}}}, first_heading)[1], map_extract(MAP {{{_LABELS}}}, {sql_clean('first_heading')})[1], '') AS label FROM entries)
+SELECT book_id, pos, label, CASE WHEN label <> '' AND label <> coalesce(nullif({sql_clean('first_heading')}, ''), 'Untitled') THEN coalesce(nullif({sql_clean('first_heading')}, ''), 'Untitled') || ' ｜ ' || label ELSE coalesce(nullif({sql_clean('first_heading')}, ''), 'Untitled') END AS shown FROM l""",
+    "heading_prose": f"""WITH h AS (SELECT page_id, {sql_clean("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")} AS h FROM pages), t AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN repeat(h, 3) ELSE h END AS heading FROM h)
+SELECT page_id, heading, (length(heading) BETWEEN 1 AND 120 AND length(regexp_replace(heading, '[^.!?。？！]', '', 'g')) <= 1) AS accepted FROM t""",
+    "paragraph_checks": f"""WITH {TURNS}, t AS (SELECT conv_id, turn, source, CASE WHEN conv_id % 7 = 0 THEN 'Sorry, I can''t do that. ' || target ELSE target END AS target FROM turns), n AS (
+  SELECT *, len(list_filter(string_split_regex(source, '[.\\n]'), lambda x: regexp_replace(x, '{SPACE}', '', 'g') <> '')) AS a, len(list_filter(string_split_regex(target, '[.\\n]'), lambda x: regexp_replace(x, '{SPACE}', '', 'g') <> '')) AS b FROM t)
+SELECT conv_id, turn, CASE WHEN trim(target, ' ') = '' THEN 'empty' ELSE array_to_string(list_filter([CASE WHEN a > 0 AND b < greatest(1, floor(a * 0.5)) THEN 'paragraphs' END, CASE WHEN regexp_matches(left(trim(target, ' '), 500), '(?i)\\b(As an AI|I''m sorry|I (am unable|can''t|cannot|won''t))\\b') THEN 'refusal' END], lambda x: x IS NOT NULL), ',') END AS warnings FROM n""",
+    "positional_pairs": f"""WITH {TURNS}, i AS (SELECT conv_id || ':' || turn AS item, turn, {_SPLIT('source')} AS s, {_SPLIT('target')} AS t FROM turns), x AS (
+  SELECT item, turn, unnest(s) AS raw, generate_subscripts(s, 1) AS n, t FROM i), y AS (
+  SELECT item, n, turn % 4 <> 2 AS translate, {sql_clean('raw')} AS text, CASE WHEN turn % 4 <> 2 THEN t[n] END AS candidate FROM x), z AS (
+  SELECT *, coalesce(candidate, map_extract(MAP {{{_LABELS}}}, text)[1], '') AS out FROM y WHERE text <> '' AND NOT ({_IDENT('text')} AND candidate IS NULL))
+SELECT item, n, text, CASE WHEN regexp_matches(out, '{HAN}') OR {_IDENT('text')} THEN out ELSE '譯文：' || out END AS target, translate AND candidate IS NULL AS unpaired FROM z""",
+    "quality_gate": f"WITH {LINES}, {QUALITY} SELECT * FROM failed",
+    "coverage_gate": f"WITH {LINES}, {QUALITY} SELECT * FROM uncovered",
+    "audit_suite": f"WITH {LINES}, {QUALITY}, {SUITE} SELECT * FROM suite",
+    "suite_passed": f"WITH {LINES}, {QUALITY}, {SUITE} SELECT book_id, bool_and(status <> 'fail') AS passed, count(*) FILTER (status = 'fail') AS n_failed FROM suite GROUP BY book_id",
+    "href_resolve": f"WITH {_LINKS} SELECT page_id, seq, href, name FROM resolved",
+    "href_gate": f"WITH {_LINKS} SELECT path, seq, path || ': ' || href || ' -> ' || name AS message FROM resolved WHERE length(name) % 2 <> 0",
+    "register_match": """WITH d AS (SELECT DISTINCT lang, source FROM documents), r AS (SELECT *, lower(CASE lang WHEN 'en' THEN 'Plain' WHEN 'fr' THEN '記事 narrative' WHEN 'de' THEN 'precise' ELSE '' END || ' ' || source) AS q FROM d), f AS (
+  SELECT lang, source, CASE WHEN contains(q, 'literary') OR contains(q, 'plain') OR contains(q, 'prose') OR contains('literary plain prose', q) THEN 'fiction'
+    WHEN contains(q, 'social') OR contains(q, 'narrative') OR contains('social narrative', q) THEN 'narrative'
+    WHEN contains(q, 'src1') OR contains(q, 'precise') OR contains('src1 precise', q) THEN 'academic' END AS register_id FROM r)
+SELECT lang, source, register_id, CAST(CASE WHEN register_id = 'academic' THEN 0.30 ELSE 0.22 END AS DOUBLE) AS min_length_ratio FROM f""",
+    "state_fold": f"WITH {FOLD} SELECT * FROM states",
+    "resume_set": f"WITH {FOLD} SELECT chapter_id, status, retry_count FROM states WHERE status = 'pending' OR (status = 'failed' AND retry_count < 2)",
+    "status_counts": f"WITH {FOLD} SELECT status, count(*) AS n, string_agg(chapter_id, ',' ORDER BY chapter_id) AS ids FROM states GROUP BY status",
+    "invalid_states": f"""WITH {FOLD}, o AS (SELECT chapter_id, output_strategy, CASE WHEN CAST(chapter_id AS INT) % 5 = 0 THEN 'skipped' ELSE status END AS status, CASE WHEN CAST(chapter_id AS INT) % 3 = 0 THEN ' ' ELSE reason END AS reason FROM states)
+SELECT * FROM (SELECT chapter_id, CASE WHEN status = 'skipped' THEN 'status' WHEN output_strategy = 'drop_explicit' AND trim(coalesce(reason, '')) = '' THEN 'reason' END AS problem FROM o) WHERE problem IS NOT NULL""",
+    "language_names": "SELECT DISTINCT lang AS code, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN '台灣繁體中文' ELSE lang END AS name FROM documents",
+    "chapter_prompts": None,
+}
+ORACLE = {k: v for k, v in ORACLE.items() if v}
