@@ -69,11 +69,11 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     m = measures(docs, id_col, text_col, group_cols)
     ratios = [F.when((F.col("n_words") > 0) & (F.col("n_lines") > 0), F.expr(f"cast({e} as double)")).alias(name) for name, (e, _, _) in MEASURES.items()]
     m = written(m.select("*", *ratios), "measures")
-    sketch = m.groupBy(*groups).agg(*[F.kll_sketch_agg_double(name).alias(name) for name in MEASURES])
+    sketch = m.groupBy(*groups).agg(*[F.kll_sketch_agg_double(name).alias(name) for name in MEASURES], *[F.count(name).alias(f"n_{name}") for name in MEASURES])
     cuts = []
     for name, (_, least, both) in MEASURES.items():
         q = F.kll_sketch_get_quantile_double(F.col(name), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        cuts.append(q.alias(f"q_{name}"))
+        cuts.append(F.when(F.col(f"n_{name}") > 0, q).alias(f"q_{name}"))  # an empty sketch has no quantiles
     sketch = sketch.select(*[F.col(g).alias(f"_{g}") for g in groups], *cuts)
     limits = []
     for name, (_, least, both) in MEASURES.items():
