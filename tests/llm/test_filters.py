@@ -114,7 +114,8 @@ def test_plan():
 def test_packing(spark):
     rng = random.Random(3)
     library = Tokenizer.from_file(PATH)
-    texts = ["".join(rng.choice(["Hello", " ", "\n", "wörld", "日本", "'s", "12", " ", "İ", "Σ", "é", "<|endoftext|>", "!?", "\x1c"]) for _ in range(rng.randint(0, 300))) for _ in range(80)]
+    texts = ["".join(rng.choice(["Hello", " ", "\n", "wörld", "日本", "'s", "12", " ", "İ", "Σ", "é", "<|endoftext|>", "<|ENDOFTEXT|>", "!?", "\x1c", "Word.", "J", "\u030c", "x,y)", "…", "."]) for _ in range(rng.randint(0, 300))) for _ in range(80)]
+    texts += [t.replace("<|", "") for t in texts[:30]] + ["Plain Words, with stops. (And 'some' more!)", "J\u030cA T\u0308b"]
     texts += [None, "", texts[0], "many words " * 9000, "x" * 30_000]
     docs = spark.createDataFrame([(i if i != 5 else None, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, offset string")
     got = packed_documents(docs, PATH, with_ids=True).collect()
