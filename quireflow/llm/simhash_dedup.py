@@ -50,9 +50,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(_fingerprints(shingle), f"k {kind}, f long")
 
 
+def positions(x: Column) -> Column:
+    """Bit i is set if the positional bytes i are equal, from the exclusive or of two fingerprints."""
+    return reduce(lambda a, b: a + b, (F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0, 1 << i).otherwise(0) for i in range(8)))
+
+
 def shared_bytes(x: Column) -> Column:
-    """How many of the eight positional bytes two fingerprints share, from their exclusive or."""
-    return reduce(lambda a, b: a + b, (F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(8)))
+    """How many of the eight positional bytes two fingerprints share."""
+    return F.bit_count(positions(x))
 
 
 def links(distinct_prints: DataFrame, bits: int = 2) -> DataFrame:
@@ -62,15 +67,19 @@ def links(distinct_prints: DataFrame, bits: int = 2) -> DataFrame:
     ``8 - bits`` positional bytes. Each posting of the index holds the fingerprints that
     agree on one set of so many positions; the key fixes the rest, hence a posting holds
     ``2 ** (8 * bits)`` fingerprints at most, whatever the size of the table. The pairs of
-    a posting are tallied, kept at the guaranteed minimum, and verified.
+    a posting are tallied, kept at the guaranteed minimum, and verified; a pair that shares
+    more comes out of the posting of its first shared positions only.
     """
     least = 8 - bits
-    masks = [sum(0xFF << (8 * i) for i in s) for s in combinations(range(8), least)]
+    sets = list(combinations(range(8), least))
+    masks = [sum(0xFF << (8 * i) for i in s) for s in sets]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     posted = distinct_prints.select("f", F.posexplode(F.array(*[F.col("f").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("s", "b"))
     u, v = posted.select(F.col("f").alias("u"), "s", "b"), posted.select(F.col("f").alias("v"), "s", "b")
     x = F.col("u").bitwiseXOR(F.col("v"))
-    pairs = u.join(v, (u.s == v.s) & (u.b == v.b) & (u.u < v.v) & (shared_bytes(x) >= least) & (F.bit_count(x) <= bits))
+    shared = [[i for i in range(8) if e >> i & 1] for e in range(256)]
+    home = F.get(F.array(*[F.lit(sets.index(tuple(e[:least])) if len(e) >= least else -1) for e in shared]), positions(x))
+    pairs = u.join(v, (u.s == v.s) & (u.b == v.b) & (u.u < v.v) & (shared_bytes(x) >= least) & (F.bit_count(x) <= bits) & (home == u.s))
     return pairs.select("u", "v")
 
 
