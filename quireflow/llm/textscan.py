@@ -2,8 +2,7 @@
 
 Everything here works on whole texts. Columns are taken apart into chunks of
 about ``CHUNK`` bytes of consecutive rows, so the numpy work arrays stay small
-whatever the mix of row sizes; one row is never split between chunks unless a
-caller asks for it by ``long_rows``.
+whatever the mix of row sizes; one row is never split between chunks.
 """
 
 from __future__ import annotations
