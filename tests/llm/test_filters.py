@@ -56,6 +56,26 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert ids == {*range(300), *range(1000, 1100)}
 
 
+def test_each_quality_measure_rejects_an_outlier(spark):
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in ("al", "en", "ir", "ost") for c in "klmnprstvz"]
+    made = lambda n: [rng.choice(words) for _ in range(n)]
+    clean = [" ".join(made(100)) for _ in range(200)]
+    again = made(8)
+    line = " ".join(made(3))
+    planted = {
+        "symbols": " ".join(made(92) + ["#"] * 4 + made(8)).replace("# # # #", "# x # y # z # & & & &"),
+        "repeats": " ".join([*made(42), *again, *made(42), *again]),
+        "dup_lines": "\n".join(x for _ in range(5) for x in (line, " ".join(made(18)))),
+        "word_length": " ".join(x + "q" for x in made(100)),
+    }
+    rows = [(i, t, "en", "a") for i, t in enumerate([*clean, *planted.values()])]
+    got = {r.k: r for r in verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(200))
+    assert {name: (got[200 + i].base_failed, got[200 + i].kept) for i, name in enumerate(planted)} == dict.fromkeys(planted, (False, False))
+    assert [got[200 + i].n_repeat_words for i in range(4)] == [0, 16, 0, 0] and got[202].n_dup_lines == 4
+
+
 def test_lines_as_brute_force(spark):
     rng = random.Random(6)
     common = [f"Common line {i}" for i in range(12)]
