@@ -18,7 +18,8 @@ EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9](?:
 SECRET = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?:ghp_|gho_|sk-|xoxb-)[A-Za-z0-9\-]{20,}|(?=[aApPsStT])(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|secret[_\-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9/+_\-]{8,}"
 HEX = r"(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
-CARD = r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d])"
+#: Digits in groups, 13 or more together and no group of over 19, with the sign after them; ``_inside`` finds what they hold.
+NUMBERS = r"(?<![\d.\-])(?=\d(?:[ .\-]?\d){12})(?!\d{20})\d++(?![A-Za-z0-9._%+\-]{0,64}@)(?:[ .\-]\d++(?![A-Za-z0-9._%+\-]{0,64}@))*+[\w\-]?"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)"
 PLAIN_PHONE = r"(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
@@ -30,7 +31,7 @@ NAME = rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? {NAME_WORD}(?: {NAME_WO
 
 #: In order: where two could start at one place, the first is taken. An entity starts a word,
 #: and the first look at its first sign spares most words the alternatives.
-ENTITY = rf"(?<![A-Za-z0-9])(?:(?=[A-Za-z0-9])(?:{EMAIL}|{SECRET}|{HEX})|(?=\d)(?:{IP}|{CARD}|{SSN}|{PLAIN_PHONE})|{PHONE}|(?=[\p{{Lu}}г])(?:{NAME}))"
+ENTITY = rf"(?<![A-Za-z0-9])(?:(?=[A-Za-z0-9])(?:{EMAIL}|{SECRET}|{HEX})|(?=\d)(?:{IP}|{NUMBERS}|{SSN}|{PLAIN_PHONE})|{PHONE}|(?=[\p{{Lu}}г])(?:{NAME}))"
 
 GIVEN = {
     ("f", "latin"): "Anna Clara Diana Elena Fiona Greta Helena Irene Julia Karin Laura Maria Nadia Olivia Paula Rosa Sofia Teresa Ursula Vera",
@@ -149,21 +150,59 @@ def _class() -> Column:
     return F.regexp_extract("kind", "^[a-z]+", 0)
 
 
+def _inside(e: Column) -> Column:
+    """The entities in a span of ``NUMBERS``, from left to right: array of (at, n, kind), at from 1.
+
+    At each group that is free yet: an IPv4 address, a social security or phone number in its
+    own format, or the longest 13 to 19 digits that are Luhn valid and end a group. Groups of a
+    card have four digits or more but for the last, or else lists of numbers would hold many;
+    only the longest match at the start of the span may be grouped in any way.
+    """
+    starts = F.filter(F.sequence(F.lit(1), F.length(e)), lambda i: F.substring(e, i, F.lit(1)).rlike("[0-9]") & ((i == 1) | F.substring(e, i - 1, F.lit(1)).isin(" ", "-", ".")))
+
+    def found(i: Column) -> Column:
+        ahead, sign = F.substring(e, i, F.lit(60)), F.when(i == 1, "").otherwise(F.substring(e, i - 1, F.lit(1)))
+        match = lambda p: F.regexp_extract(ahead, f"^(?:{p})", 0)
+        cases = [(sign != ".", IP, "ip"), (sign != "-", SSN, "ssn"), (~sign.isin("-", "."), PLAIN_PHONE, "phone")]
+        out = None
+        for free, pattern, kind in cases:
+            n = F.length(match(pattern))
+            one = F.when(free & (n > 0), F.struct(i.alias("at"), n.alias("n"), F.lit(kind).alias("kind")))
+            out = one if out is None else F.coalesce(out, one)
+        longest = match(r"\d(?:[ \-]?\d){12,18}(?!\d)")
+        for more in range(18, 11, -1):
+            card = match(rf"\d(?:[ \-]?\d){{{more}}}(?!\d)")
+            usual = card.rlike(r"^\d{4,}(?:[ \-]\d{4,})*(?:[ \-]\d{1,3})?$") | ((i == 1) & (card == longest))
+            good = usual & ~sign.isin("-", ".") & (card != "") & (_luhn(F.regexp_replace(card, r"\D", ""), 1) % 10 == 0)
+            out = F.coalesce(out, F.when(good, F.struct(i.alias("at"), F.length(card).alias("n"), F.lit("card").alias("kind"))))
+        return out
+
+    each = F.filter(F.transform(starts, found), lambda x: x.isNotNull())
+    none = F.array().cast("array<struct<at:int,n:int,kind:string>>")
+    free = lambda a: F.when(F.size(a) == 0, 1).otherwise(F.element_at(a, -1)["at"] + F.element_at(a, -1)["n"])
+    return F.aggregate(each, none, lambda a, x: F.when(F.coalesce(x["at"] >= free(a), F.lit(True)), F.concat(a, F.array(x))).otherwise(a))
+
+
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, t, i, j, before, surface, kind, canon): part j of the entity at place i; t is a hash of the text."""
+    """(k, t, i, j, m, before, surface, after, kind, canon): part j of the span at place i; parts of one entity have the same m; t is a hash of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("t"), F.posexplode(F.regexp_extract_all(text, F.lit(f"({ENTITY})"), 1)).alias("i", "e")).dropDuplicates(["k", "t", "i"])
     e = F.col("e")
-    digits = F.regexp_replace(e, r"\D", "")
+    numbers = e.rlike(r"^\d(?:[ .\-]?\d){12}") & e.rlike(r"^\d++(?:[ .\-]\d++)*+[\w\-]?$") & ~e.rlike("^[0-9a-f]{32,64}$")
     kind = F.when(e.contains("@"), "email").when(e.rlike(f"^(?:{IP})$"), "ip").when(e.rlike(f"^(?:{SSN})$"), "ssn")
-    kind = kind.when(e.rlike(r"^\d(?:[ \-]?\d){12,18}$"), F.when(_luhn(digits, 1) % 10 == 0, "card").otherwise("none"))
+    kind = kind.when(numbers, "numbers")
     kind = kind.when(e.rlike(r"^[+(\d][\d ().\-]+$"), "phone").when(e.rlike(f"^(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? {NAME_WORD}"), "name").otherwise("secret")
     found = found.withColumn("kind", kind)
     # A label such as password= stays; what it labels is replaced.
     label = F.regexp_extract(e, r"^((?i:[a-z_\-]+)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)?", 1)
     before = F.when(F.col("kind") == "secret", label).otherwise("")
     surface = F.when(F.col("kind") == "secret", F.substring(e, F.length(label) + 1, F.length(e))).otherwise(e)
-    simple = found.where("kind <> 'name'").select("k", "t", "i", F.lit(0).alias("j"), before.alias("before"), surface.alias("surface"), "kind")
+    simple = found.where("kind not in ('name', 'numbers')").select("k", "t", "i", F.lit(0).alias("j"), F.lit(0).alias("m"), before.alias("before"), surface.alias("surface"), F.lit("").alias("after"), "kind")
+    held = found.where("kind = 'numbers'").select("k", "t", "i", "e", _inside(e).alias("a")).select("*", F.posexplode("a").alias("j", "x"))
+    past = F.when(F.col("j") == 0, 1).otherwise(F.get("a", F.col("j") - 1)["at"] + F.get("a", F.col("j") - 1)["n"])
+    end = F.col("x.at") + F.col("x.n")
+    after = F.when(F.col("j") == F.size("a") - 1, F.substring(e, end, F.length(e))).otherwise("")
+    held = held.select("k", "t", "i", "j", F.col("j").alias("m"), F.substring(e, past, F.col("x.at") - past).alias("before"), F.substring(e, F.col("x.at"), F.col("x.n")).alias("surface"), after.alias("after"), F.col("x.kind").alias("kind"))
     title = F.regexp_extract(e, f"^({FEMALE}|{MALE}|{NEUTRAL})", 1)
     sex = F.when(title.rlike(f"^(?:{FEMALE})$"), "f").when(title.rlike(f"^(?:{MALE})$"), "m").otherwise("n")
     named = found.where("kind = 'name'").select("k", "t", "i", F.regexp_extract(e, r"^(\S+ )", 1).alias("title"), sex.alias("sex"), F.split(F.regexp_replace(e, r"^\S+ ", ""), " ").alias("names"))
@@ -173,10 +212,10 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sex = F.when(lower.isin(known["f"]), "f").when(lower.isin(known["m"]), "m").otherwise(F.col("sex"))
     script = F.when(F.col("surface").rlike(r"^[\p{IsLatin}'’\-]+$"), "latin").when(F.col("surface").rlike(r"^[\p{IsCyrillic}'’\-]+$"), "cyrillic").otherwise("other")
     role = F.when((F.col("n") == 2) & (F.col("j") == 0), F.concat_ws("_", F.lit("given"), sex, script)).otherwise(F.concat_ws("_", F.lit("family"), script))
-    named = named.select("k", "t", "i", "j", F.when(F.col("j") == 0, F.col("title")).otherwise(" ").alias("before"), "surface", role.alias("kind"))
+    named = named.select("k", "t", "i", "j", F.lit(0).alias("m"), F.when(F.col("j") == 0, F.col("title")).otherwise(" ").alias("before"), "surface", F.lit("").alias("after"), role.alias("kind"))
     canon = F.when(F.col("kind").isin("card", "ssn"), F.regexp_replace("surface", r"\D", "")).when(F.col("kind") == "phone", F.regexp_replace("surface", r"[^+\d]", "")).when(F.col("kind").isin("ip", "secret"), F.col("surface"))
     canon = canon.when(F.col("kind").rlike("^(given|family)"), F.initcap("surface")).otherwise(F.lower("surface"))
-    return simple.union(named).where("kind <> 'none'").withColumn("canon", canon)
+    return simple.union(held).union(named).withColumn("canon", canon)
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
@@ -226,7 +265,7 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     found = written(mentions(docs, id_col, text_col), "mentions")
     table = surrogates(found, key)
-    parts = found.join(table, ["kind", "canon"]).select("k", "t", "i", F.struct("i", "j", F.concat("before", _rendered()).alias("r")).alias("p"))
+    parts = found.join(table, ["kind", "canon"]).select("k", "t", "i", F.struct("i", "j", "m", F.concat("before", _rendered(), "after").alias("r")).alias("p"))
     new = parts.groupBy("k", "t").agg(F.sort_array(F.collect_list("p")).alias("p"))
     new = new.select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("p").alias("__p"))
     columns = [c for c in docs.columns if c != "n_entities"]
@@ -237,7 +276,7 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     # Arrays of their own columns, each used twice or more, so that each is made once per row.
     cut = both.select(*columns, "__p", F.split(text_col, ENTITY, -1).alias("__rest"), F.regexp_extract_all(F.col(text_col), F.lit(f"({ENTITY})"), 1).alias("__seen"))
     whole = F.array_join(F.transform("__rest", lambda x, i: F.concat(x, F.coalesce(_at(i), F.get("__seen", i), F.lit("")))), "")
-    n = F.coalesce(F.size(F.array_distinct(F.transform("__p", lambda x: x["i"]))), F.lit(0)).cast("long")
+    n = F.coalesce(F.size(F.array_distinct(F.transform("__p", lambda x: F.struct(x["i"], x["m"])))), F.lit(0)).cast("long")
     done = cut.select(*[F.when(F.col("__p").isNull(), F.col(c)).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in columns], F.when(F.col("__p").isNull(), 0).otherwise(n).cast("long").alias("n_entities"))
     return plain.union(done)
 

@@ -45,6 +45,28 @@ def test_texts(spark):
     assert pseudonymize(docs.limit(0), "key").count() == 0
 
 
+def test_numbers_side_by_side(spark):
+    card = "4111 1111 1111 1111"
+    rows = {
+        f"{card} 123": (1, r"4\d{3} \d{4} \d{4} \d{4} 123"),
+        f"{card.replace(' ', '')} 12/26 x": (1, r"4\d{15} 12/26 x"),
+        f"no 12 {card}, 5": (1, r"no 12 4\d{3} \d{4} \d{4} \d{4}, 5"),
+        "555-123-4567 555-987-6543": (2, r"\d{3}-\d{3}-\d{4} \d{3}-\d{3}-\d{4}"),
+        "555-123-4567 555.987.6543 or": (2, r"\d{3}-\d{3}-\d{4} \d{3}\.\d{3}\.\d{4} or"),
+        "212-555-0100 2024-01-05": (1, r"\d{3}-\d{3}-\d{4} 2024-01-05"),
+        "078-05-1120 219-09-9999": (2, r"\d{3}-\d\d-\d{4} \d{3}-\d\d-\d{4}"),
+        f"078-05-1120 {card} 8.8.8.8 end": (3, r"\d{3}-\d\d-\d{4} 4\d{3} \d{4} \d{4} \d{4} [\d.]+ end"),
+        "1 2 3 4 5 6 7 8 9 10 11 12 13 14": (0, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"),
+        "2024 1000 2000 3000 5bob@example.com": (1, r"2024 1000 2000 3000 \S+@\S+\.com"),
+        "12 " * 5000 + "555-123-4567": (1, "(?:12 ){5000}" + r"\d{3}-\d{3}-\d{4}"),
+    }
+    got = {r.doc_id: r for r in pseudonymize(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "key").collect()}
+    for i, (text, (n, pattern)) in enumerate(rows.items()):
+        assert got[i].n_entities == n and re.fullmatch(pattern, got[i].text), (text[:80], got[i].n_entities, got[i].text[-80:])
+        assert n == 0 or not any(x in got[i].text for x in ("1111 1111", "11111111", "123-4567", "987", "555-0100", "05-1120", "09-9999", "8.8.8.8", "bob")), text
+        assert all(luhn(re.sub(r"\D", "", c)) for c in re.findall(r"4\d{3} ?\d{4} ?\d{4} ?\d{4}", got[i].text))
+
+
 def test_no_collisions(spark):
     names = [f"Name{i}" for i in range(300)]
     rows = [("family_latin", n) for n in names] + [("given_f_latin", n) for n in names[:150]] + [("given_m_latin", n) for n in names[:150]] + [("ip", f"192.168.1.{i}") for i in range(250)] + [("secret", f"{i:02x}") for i in range(100)]
