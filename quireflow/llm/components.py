@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.store import written
+from quireflow.llm.store import dropped, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(floor.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        old, e = e, written(small.union(floor.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        dropped(old)
         now = _signature(e)
         if now == seen:
             break

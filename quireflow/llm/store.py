@@ -10,24 +10,42 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Only a local master may leave it unset; it then gets a private folder, removed at exit."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quireflow-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="quireflow-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        found = "file://" + _own[app]
     return found.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    A lost executor then costs a re-read, not the whole lineage. The folder's
-    owner removes old tables; nothing reads them after the result is written.
+    A lost executor then costs a re-read, not the whole lineage. A table that
+    is replaced is given to ``dropped``; the folder's owner removes the rest,
+    which nothing reads after the result is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quireflow/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
 
+def dropped(*tables: DataFrame | None) -> None:
+    """Remove tables made by ``written`` that no later step and no result reads."""
+    for t in tables:
+        if t is not None:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_at)
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -88,21 +88,32 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.
 
 
 class Memo:
-    """Results by piece, in two generations: the older one goes when the younger is full. Bounds memory only."""
+    """Results by piece, in two generations: the older one goes when the younger is full. Bounds memory only.
 
-    def __init__(self, most: int = 200_000) -> None:
-        self.most, self.young, self.old = most, {}, {}
+    A generation holds ``most`` bytes of pieces and results, with 150 a piece for what Python
+    needs besides; pieces of over ``longest`` bytes are made anew each time.
+    """
+
+    def __init__(self, most: int = 48 << 20, longest: int = 4096) -> None:
+        self.most, self.longest, self.held, self.young, self.old = most, longest, 0, {}, {}
 
     def of(self, pieces: list[bytes], make) -> list:
-        """Results for the distinct ``pieces``; ``make`` gets the list of those not known."""
+        """Results for the ``pieces``; ``make`` gets the list of those not known."""
         young, old = self.young, self.old
-        found = [young.get(p) or old.get(p) for p in pieces]
-        lacking = [i for i, x in enumerate(found) if x is None]
+        found = [young.get(p) for p in pieces]
+        lacking = []
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = x = old.get(pieces[i])
+                if x is None:
+                    lacking.append(i)
         if lacking:
             fresh = [pieces[i] for i in lacking]
             for i, p, x in zip(lacking, fresh, make(fresh), strict=True):
                 found[i] = x
-                young[p] = x
-        if len(young) > self.most:
-            self.young, self.old = {}, young
+                if len(p) <= self.longest:
+                    young[p] = x
+                    self.held += len(p) + 150 + (8 if isinstance(x, int) else getattr(x, "nbytes", 0) or len(x))
+        if self.held > self.most:
+            self.young, self.old, self.held = {}, young, 0
         return found
