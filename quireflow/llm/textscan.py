@@ -94,7 +94,7 @@ class Memo:
     needs besides; pieces of over ``longest`` bytes are made anew each time.
     """
 
-    def __init__(self, most: int = 48 << 20, longest: int = 4096) -> None:
+    def __init__(self, most: int = 24 << 20, longest: int = 4096) -> None:
         self.most, self.longest, self.held, self.young, self.old = most, longest, 0, {}, {}
 
     def of(self, pieces: list[bytes], make) -> list:
