@@ -12,14 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.store import written
+from quireflow.llm.store import dropped, written
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9])"
+#: A label has 63 signs and a name 127 labels at most. Java matches groups by recursion, so a group without a bound could end the process.
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9])"
 SECRET = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?:ghp_|gho_|sk-|xoxb-)[A-Za-z0-9\-]{20,}|(?=[aApPsStT])(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|secret[_\-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9/+_\-]{8,}"
 HEX = r"(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 #: Digits in groups, 13 or more together and no group of over 19, with the sign after them; ``_inside`` finds what they hold.
-NUMBERS = r"(?<![\d.\-])(?=\d(?:[ .\-]?\d){12})(?!\d{20})\d++(?![A-Za-z0-9._%+\-]{0,64}@)(?:[ .\-]\d++(?![A-Za-z0-9._%+\-]{0,64}@))*+[\w\-]?"
+#: A longer run is taken in stretches of 400 groups, which keeps the work linear; an entity across a seam is not seen.
+NUMBERS = r"(?:(?<![\d.\-])|\G)(?=\d(?:[ .\-]?\d){12})(?!\d{20})\d++(?![A-Za-z0-9._%+\-]{0,64}@)(?:[ .\-]\d++(?![A-Za-z0-9._%+\-]{0,64}@)){0,399}+[\w\-]?"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)"
 PLAIN_PHONE = r"(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
@@ -64,6 +66,10 @@ ALPHABETS = (
 )
 
 
+#: Rounds of collision checks before the space of a format counts as full.
+ATTEMPTS = 100
+
+
 def _seed(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 15), 16, 10).cast("long")
 
@@ -120,6 +126,8 @@ def _surrogate(key: str) -> Column:
     octet = lambda i, low, n: (F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(n)) + low).cast("string")
     net = F.regexp_extract(canon, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|169\.254\.)", 1)
     ip = F.when(net == "", F.concat_ws(".", octet(0, 20, 80), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
+    # Networks of 65,536 addresses or so can run out of free ones; then the address moves to the largest private one.
+    ip = ip.when((F.col("attempt") >= 8) & ~net.isin("10.", "127."), F.concat(F.lit("10."), F.concat_ws(".", octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))))
     ip = ip.when(net.rlike(r"^\d+\.$"), F.concat(net, F.concat_ws(".", octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))))
     ip = ip.otherwise(F.concat(net, F.concat_ws(".", octet(2, 0, 256), octet(3, 1, 254))))
     plus = canon.startswith("+")
@@ -133,15 +141,18 @@ def _surrogate(key: str) -> Column:
     out = F.when(F.col("kind") == "email", email).when(F.col("kind") == "ip", ip).when(F.col("kind") == "phone", phone).when(F.col("kind") == "card", card).when(F.col("kind") == "ssn", ssn).when(F.col("kind") == "secret", secret)
     n = [F.xxhash64(seed, F.lit(i)) for i in range(4)]
     short, more = F.col("attempt") < 1, F.col("attempt") < 6
+
+    def family(script: str, syllables: Column) -> Column:
+        """A name of so many syllables and an ending: each attempt has a longer one to choose from."""
+        front, back = (x.split() for x in FAMILY[script])
+        return F.concat(F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), syllables), lambda i: _pick(front, F.xxhash64(seed, F.lit("syllable"), i))), "")), _pick(back, n[3]))
+
     for (sex, script), names in GIVEN.items():
         pool, mine = names.split(), F.col("kind") == f"given_{sex}_{script}"
-        front, back = (x.split() for x in FAMILY[script])
         out = out.when(mine & short, _pick(pool, n[0])).when(mine & more, F.concat(_pick(pool, n[0]), F.lit("-"), _pick(pool, n[1])))
-        out = out.when(mine, F.concat(_pick(pool, n[0]), F.lit("-"), _pick(front, n[1]), F.lower(_pick(front, n[2])), _pick(back, n[3])))
-    for script, (front, back) in FAMILY.items():
-        front, back, mine = front.split(), back.split(), F.col("kind") == f"family_{script}"
-        out = out.when(mine & short, F.concat(_pick(front, n[0]), _pick(back, n[1])))
-        out = out.when(mine, F.concat(_pick(front, n[0]), F.lower(_pick(front, n[1])), _pick(back, n[2])))
+        out = out.when(mine, F.concat(_pick(pool, n[0]), F.lit("-"), family(script, F.col("attempt") - 4)))
+    for script in FAMILY:
+        out = out.when(F.col("kind") == f"family_{script}", family(script, F.col("attempt") + 1))
     return out.otherwise(_substitute(longer(canon), seed))
 
 
@@ -150,41 +161,54 @@ def _class() -> Column:
     return F.regexp_extract("kind", "^[a-z]+", 0)
 
 
-def _inside(e: Column) -> Column:
-    """The entities in a span of ``NUMBERS``, from left to right: array of (at, n, kind), at from 1.
+def _joined(tokens: Column, first: Column, n: Column) -> Column:
+    return F.array_join(F.slice(tokens, first + 1, n), "")
 
-    At each group that is free yet: an IPv4 address, a social security or phone number in its
-    own format, or the longest 13 to 19 digits that are Luhn valid and end a group. Groups of a
-    card have four digits or more but for the last, or else lists of numbers would hold many;
-    only the longest match at the start of the span may be grouped in any way.
+
+def _inside(tokens: Column) -> Column:
+    """The entities in a span of ``NUMBERS``, from left to right: array of (at, c, n, kind).
+
+    ``tokens`` are its groups of digits, each with the sign after it; an entity has n signs, from
+    group ``at`` (from 0) on, and touches c groups. At each group that is free yet: an IPv4
+    address, a social security or phone number in its own format, or the longest 13 to 19
+    digits that are Luhn valid and end a group. Groups of a card have four digits or more
+    but for the last, or else lists of numbers would hold many; only the longest match at
+    the start of the span may be grouped in any way.
     """
-    starts = F.filter(F.sequence(F.lit(1), F.length(e)), lambda i: F.substring(e, i, F.lit(1)).rlike("[0-9]") & ((i == 1) | F.substring(e, i - 1, F.lit(1)).isin(" ", "-", ".")))
-
-    def found(i: Column) -> Column:
-        ahead, sign = F.substring(e, i, F.lit(60)), F.when(i == 1, "").otherwise(F.substring(e, i - 1, F.lit(1)))
-        match = lambda p: F.regexp_extract(ahead, f"^(?:{p})", 0)
-        cases = [(sign != ".", IP, "ip"), (sign != "-", SSN, "ssn"), (~sign.isin("-", "."), PLAIN_PHONE, "phone")]
-        out = None
-        for free, pattern, kind in cases:
-            n = F.length(match(pattern))
-            one = F.when(free & (n > 0), F.struct(i.alias("at"), n.alias("n"), F.lit(kind).alias("kind")))
-            out = one if out is None else F.coalesce(out, one)
+
+    # Steps of their own, so that each match is made once for each group.
+    def ahead(_token: Column, i: Column) -> Column:
+        return F.struct(i.alias("at"), F.substring(_joined(tokens, i, F.lit(20)), 1, 60).alias("text"), F.when(i == 0, "").otherwise(F.right(F.get(tokens, i - 1), F.lit(1))).alias("sign"))
+
+    def matches(x: Column) -> Column:
+        match = lambda p: F.regexp_extract(x["text"], f"^(?:{p})", 0)
         longest = match(r"\d(?:[ \-]?\d){12,18}(?!\d)")
-        for more in range(18, 11, -1):
-            card = match(rf"\d(?:[ \-]?\d){{{more}}}(?!\d)")
-            usual = card.rlike(r"^\d{4,}(?:[ \-]\d{4,})*(?:[ \-]\d{1,3})?$") | ((i == 1) & (card == longest))
-            good = usual & ~sign.isin("-", ".") & (card != "") & (_luhn(F.regexp_replace(card, r"\D", ""), 1) % 10 == 0)
-            out = F.coalesce(out, F.when(good, F.struct(i.alias("at"), F.length(card).alias("n"), F.lit("card").alias("kind"))))
-        return out
-
-    each = F.filter(F.transform(starts, found), lambda x: x.isNotNull())
-    none = F.array().cast("array<struct<at:int,n:int,kind:string>>")
-    free = lambda a: F.when(F.size(a) == 0, 1).otherwise(F.element_at(a, -1)["at"] + F.element_at(a, -1)["n"])
+        cards = F.when(longest == "", F.array().cast("array<string>")).otherwise(F.array(*[match(rf"\d(?:[ \-]?\d){{{more}}}(?!\d)") for more in range(18, 11, -1)]))
+        return F.struct(x["at"].alias("at"), x["sign"].alias("sign"), *[match(p).alias(kind) for p, kind in ((IP, "ip"), (SSN, "ssn"), (PLAIN_PHONE, "phone"))], longest.alias("longest"), cards.alias("cards"))
+
+    def found(x: Column) -> Column:
+        def usual(card: Column) -> Column:
+            grouped = card.rlike(r"^\d{4,}(?:[ \-]\d{4,})*(?:[ \-]\d{1,3})?$") | ((x["at"] == 0) & (card == x["longest"]))
+            return (card != "") & grouped & (_luhn(F.regexp_replace(card, r"\D", ""), 1) % 10 == 0)
+
+        text = F.when((x["sign"] != ".") & (x["ip"] != ""), F.array(x["ip"], F.lit("ip"))).when((x["sign"] != "-") & (x["ssn"] != ""), F.array(x["ssn"], F.lit("ssn")))
+        text = text.when(~x["sign"].isin("-", ".") & (x["phone"] != ""), F.array(x["phone"], F.lit("phone")))
+        card = F.when(x["sign"].isin("-", "."), F.lit(None).cast("string")).otherwise(F.get(F.filter(x["cards"], usual), F.lit(0)))
+        return F.struct(x["at"].alias("at"), F.coalesce(text, F.when(card.isNotNull(), F.array(card, F.lit("card")))).alias("hit"))
+
+    def sized(x: Column) -> Column:
+        text = F.get(x["hit"], F.lit(0))
+        return F.struct(x["at"].alias("at"), F.size(F.regexp_extract_all(text, F.lit(r"(\d+)"), 1)).alias("c"), F.length(text).alias("n"), F.get(x["hit"], F.lit(1)).alias("kind"))
+
+    each = F.transform(F.transform(F.transform(tokens, ahead), matches), found)
+    each = F.transform(F.filter(each, lambda x: x["hit"].isNotNull()), sized)
+    none = F.array().cast("array<struct<at:int,c:int,n:int,kind:string>>")
+    free = lambda a: F.when(F.size(a) == 0, 0).otherwise(F.element_at(a, -1)["at"] + F.element_at(a, -1)["c"])
     return F.aggregate(each, none, lambda a, x: F.when(F.coalesce(x["at"] >= free(a), F.lit(True)), F.concat(a, F.array(x))).otherwise(a))
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, t, i, j, m, before, surface, after, kind, canon): part j of the span at place i; parts of one entity have the same m; t is a hash of the text."""
+    """(k, t, i, j, m, before, surface, after, kind, canon): part j of the span at place i; parts of one entity have the same m; a span without an entity has one part of kind none; t is a hash of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("t"), F.posexplode(F.regexp_extract_all(text, F.lit(f"({ENTITY})"), 1)).alias("i", "e")).dropDuplicates(["k", "t", "i"])
     e = F.col("e")
@@ -198,11 +222,18 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     before = F.when(F.col("kind") == "secret", label).otherwise("")
     surface = F.when(F.col("kind") == "secret", F.substring(e, F.length(label) + 1, F.length(e))).otherwise(e)
     simple = found.where("kind not in ('name', 'numbers')").select("k", "t", "i", F.lit(0).alias("j"), F.lit(0).alias("m"), before.alias("before"), surface.alias("surface"), F.lit("").alias("after"), "kind")
-    held = found.where("kind = 'numbers'").select("k", "t", "i", "e", _inside(e).alias("a")).select("*", F.posexplode("a").alias("j", "x"))
-    past = F.when(F.col("j") == 0, 1).otherwise(F.get("a", F.col("j") - 1)["at"] + F.get("a", F.col("j") - 1)["n"])
-    end = F.col("x.at") + F.col("x.n")
-    after = F.when(F.col("j") == F.size("a") - 1, F.substring(e, end, F.length(e))).otherwise("")
-    held = held.select("k", "t", "i", "j", F.col("j").alias("m"), F.substring(e, past, F.col("x.at") - past).alias("before"), F.substring(e, F.col("x.at"), F.col("x.n")).alias("surface"), after.alias("after"), F.col("x.kind").alias("kind"))
+    held = found.where("kind = 'numbers'").select("k", "t", "i", F.regexp_extract_all(e, F.lit(r"(\d+\D?)"), 1).alias("g"))
+    held = held.select("k", "t", "i", "g", _inside(F.col("g")).alias("a"))
+    bare = held.where("size(a) = 0").select("k", "t", "i", F.lit(0).alias("j"), F.lit(-1).alias("m"), F.array_join("g", "").alias("before"), F.lit("").alias("surface"), F.lit("").alias("after"), F.lit("none").alias("kind"))
+
+    def part(x: Column, j: Column) -> Column:
+        past = F.when(j == 0, 0).otherwise(F.get("a", j - 1)["at"] + F.get("a", j - 1)["c"])
+        own = _joined(F.col("g"), x["at"], x["c"])
+        rest = F.when(j == F.size("a") - 1, _joined(F.col("g"), x["at"] + x["c"], F.size("g"))).otherwise("")
+        sign = F.substring(own, x["n"] + 1, F.length(own))
+        return F.struct(_joined(F.col("g"), past, x["at"] - past).alias("before"), F.substring(own, F.lit(1), x["n"]).alias("surface"), F.concat(sign, rest).alias("after"), x["kind"].alias("kind"))
+
+    held = held.where("size(a) > 0").select("k", "t", "i", F.posexplode(F.transform("a", part)).alias("j", "x")).select("k", "t", "i", "j", F.col("j").alias("m"), "x.*")
     title = F.regexp_extract(e, f"^({FEMALE}|{MALE}|{NEUTRAL})", 1)
     sex = F.when(title.rlike(f"^(?:{FEMALE})$"), "f").when(title.rlike(f"^(?:{MALE})$"), "m").otherwise("n")
     named = found.where("kind = 'name'").select("k", "t", "i", F.regexp_extract(e, r"^(\S+ )", 1).alias("title"), sex.alias("sex"), F.split(F.regexp_replace(e, r"^\S+ ", ""), " ").alias("names"))
@@ -215,7 +246,7 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = named.select("k", "t", "i", "j", F.lit(0).alias("m"), F.when(F.col("j") == 0, F.col("title")).otherwise(" ").alias("before"), "surface", F.lit("").alias("after"), role.alias("kind"))
     canon = F.when(F.col("kind").isin("card", "ssn"), F.regexp_replace("surface", r"\D", "")).when(F.col("kind") == "phone", F.regexp_replace("surface", r"[^+\d]", "")).when(F.col("kind").isin("ip", "secret"), F.col("surface"))
     canon = canon.when(F.col("kind").rlike("^(given|family)"), F.initcap("surface")).otherwise(F.lower("surface"))
-    return simple.union(held).union(named).withColumn("canon", canon)
+    return simple.union(held).union(bare).union(named).withColumn("canon", canon)
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
@@ -223,21 +254,30 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
 
     Rounds run until no collision is left. In each, of those with one surrogate the value
     that comes first keeps it, unless the surrogate is a real value; the others try the
-    next attempt. Groups are reduced to their minimum, never gathered.
+    next attempt. Groups are reduced to their minimum, never gathered. Names, e-mail
+    addresses and secrets get longer with the attempts, and private addresses move to the
+    largest private network. Where the format leaves no free value (short phone numbers,
+    once half of all there are real), ``ATTEMPTS`` rounds end in a ValueError.
     """
-    open_ = written(found.groupBy("kind", "canon").agg(F.lit(0).alias("attempt")).withColumn("class", _class()), "entities")
+    open_ = written(found.where("kind <> 'none'").groupBy("kind", "canon").agg(F.lit(0).alias("attempt")).withColumn("class", _class()), "entities")
+    real_in = open_
     real = open_.select("class", F.col("canon").alias("surrogate")).distinct()
     settled = None
-    while True:
+    for _ in range(ATTEMPTS):
         tried = written(open_.withColumn("surrogate", _surrogate(key)), "tried")
         first = tried.join(real, ["class", "surrogate"], "left_anti").groupBy("class", "surrogate").agg(F.min(F.struct("kind", "canon")).alias("first"))
         if settled is not None:
             first = first.join(settled.select("class", "surrogate"), ["class", "surrogate"], "left_anti")
         won = written(first.select("class", "surrogate", "first.kind", "first.canon"), "won")
         settled = won if settled is None else settled.union(won)
-        open_ = written(tried.join(won, ["kind", "canon"], "left_anti").withColumn("attempt", F.col("attempt") + 1).drop("surrogate"), "open")
+        old, open_ = open_, written(tried.join(won, ["kind", "canon"], "left_anti").withColumn("attempt", F.col("attempt") + 1).drop("surrogate"), "open")
+        if real_in is not old:
+            dropped(old)
+        dropped(tried)
         if open_.isEmpty():
             return settled.select("kind", "canon", "surrogate")
+    lacking = sorted(r.kind for r in open_.select("kind").distinct().collect())
+    raise ValueError(f"no free surrogates of the same format for values of {', '.join(lacking)}")
 
 
 def _rendered() -> Column:
@@ -265,7 +305,9 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     found = written(mentions(docs, id_col, text_col), "mentions")
     table = surrogates(found, key)
-    parts = found.join(table, ["kind", "canon"]).select("k", "t", "i", F.struct("i", "j", "m", F.concat("before", _rendered(), "after").alias("r")).alias("p"))
+    fill = F.struct("i", "j", "m", F.concat("before", F.when(F.col("kind") == "none", "").otherwise(_rendered()), "after").alias("r"))
+    parts = found.join(table, ["kind", "canon"]).select("k", "t", "i", fill.alias("p"))
+    parts = parts.union(found.where("kind = 'none'").withColumn("surrogate", F.lit("")).select("k", "t", "i", fill.alias("p")))
     new = parts.groupBy("k", "t").agg(F.sort_array(F.collect_list("p")).alias("p"))
     new = new.select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("p").alias("__p"))
     columns = [c for c in docs.columns if c != "n_entities"]
@@ -273,15 +315,10 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     plain = docs.where(~hit).select(*columns, F.lit(0).cast("long").alias("n_entities"))
     own = docs.where(hit).select(*columns, F.xxhash64(text_col).alias("__h"))
     both = own.join(new, own[id_col].eqNullSafe(new["__k"]) & (own["__h"] == new["__t"]), "left")
-    # Arrays of their own columns, each used twice or more, so that each is made once per row.
-    cut = both.select(*columns, "__p", F.split(text_col, ENTITY, -1).alias("__rest"), F.regexp_extract_all(F.col(text_col), F.lit(f"({ENTITY})"), 1).alias("__seen"))
-    whole = F.array_join(F.transform("__rest", lambda x, i: F.concat(x, F.coalesce(_at(i), F.get("__seen", i), F.lit("")))), "")
-    n = F.coalesce(F.size(F.array_distinct(F.transform("__p", lambda x: F.struct(x["i"], x["m"])))), F.lit(0)).cast("long")
+    # Each span has one part or more, so the parts in their order, each first one after the text before its span, are the text.
+    cut = both.select(*columns, "__p", F.split(text_col, ENTITY, -1).alias("__rest"))
+    whole = F.concat(F.array_join(F.transform("__p", lambda x: F.concat(F.when(x["j"] == 0, F.get("__rest", x["i"])).otherwise(""), x["r"])), ""), F.element_at("__rest", -1))
+    n = F.coalesce(F.size(F.filter("__p", lambda x: x["j"] == x["m"])), F.lit(0)).cast("long")
     done = cut.select(*[F.when(F.col("__p").isNull(), F.col(c)).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in columns], F.when(F.col("__p").isNull(), 0).otherwise(n).cast("long").alias("n_entities"))
     return plain.union(done)
 
-
-def _at(i: Column) -> Column:
-    """The parts of the entity at place i, joined; null if it is none."""
-    mine = F.filter("__p", lambda x: x["i"] == i)
-    return F.when(F.size(mine) > 0, F.array_join(F.transform(mine, lambda x: x["r"]), ""))

@@ -1,6 +1,12 @@
+import ipaddress
 import re
 
-from quireflow.llm.pii_surrogates import _class, _surrogate, pseudonymize, surrogates
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from quireflow.llm import pii_surrogates
+from quireflow.llm.pii_surrogates import _class, _surrogate, mentions, pseudonymize, surrogates
 from pyspark.sql import functions as F
 
 ROWS = [
@@ -77,3 +83,73 @@ def test_no_collisions(spark):
     # The first attempt alone does collide.
     first = found.withColumn("attempt", F.lit(0)).withColumn("s", _surrogate("k")).select("kind", "s").distinct().count()
     assert first < len(rows)
+
+
+def test_many_values_of_one_format(spark):
+    names = [("family_latin", f"Name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(20_000)]
+    addresses = [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(40_000)]
+    found = spark.createDataFrame(names + addresses, "kind string, canon string")
+    got = surrogates(found, "k").withColumn("class", _class()).collect()
+    assert len(got) == 60_000 == len({(r["class"], r.surrogate) for r in got})
+    assert not {(r["class"], r.surrogate) for r in got} & {(r["class"], r.canon) for r in got}
+    assert all(r.surrogate.startswith(("192.168.", "10.")) for r in got if r.kind == "ip")
+
+
+def test_a_full_format_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii_surrogates, "ATTEMPTS", 3)
+    found = spark.createDataFrame([("phone", f"+1{a}{b}00") for a in range(20, 100) for b in range(10)], "kind string, canon string")
+    few = found.union(spark.createDataFrame([("phone", f"+1{a:02}{b}{c:02}") for a in range(100) for b in range(10) for c in range(1, 100)], "kind string, canon string"))
+    with pytest.raises(ValueError, match="phone"):
+        surrogates(few, "k")
+
+
+LONG = 1_000_000
+
+
+def test_very_long_texts_end(spark, tmp_path):
+    n = LONG
+    texts = [
+        "a@" + "a." * (n // 2), "a." * (n // 2) + "@x", "a@" + "a" * n, "a@" + "a-" * (n // 2), "1 " * (n // 20), "1." * (n // 2), "1" * n, "12-" * (n // 30),
+        "password=" + "a" * n, "Mr. " + "A" * n, "Mr " * (n // 3), "+1" * (n // 2), "+1 22 " * (n // 6), "'" + "0a" * (n // 2) + "'", " " * n, "AKIA" * (n // 4), "(123) " * (n // 6),
+    ]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": [t + " 8.8.8.8" for t in texts]}), tmp_path / "long.parquet")
+    rows = {r.doc_id: r for r in pseudonymize(spark.read.parquet(str(tmp_path / "long.parquet")), "k").collect()}
+    for i, t in enumerate(texts):
+        assert "8.8.8.8" not in rows[i].text and rows[i].n_entities >= 1, t[:8]
+
+
+def test_texts_of_many_entities(spark):
+    text = "".join(f"x{i}@example.com, " for i in range(20_000)) + "4111 1111 1111 1111 " * 2_000
+    row = pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert row.n_entities == 22_000 and "example.com" not in row.text and "4111 1111" not in row.text
+    assert len(set(re.findall(r"\S+@", row.text))) == 20_000
+
+
+def spans(text):
+    """Entities of the kinds that Python's own means can find alone, without the patterns of the module."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", text):
+        domain = m[0].rpartition("@")[2].rstrip(".-").split(".")
+        if len(domain) > 1 and all(domain) and domain[-1].isalpha() and len(domain[-1]) > 1:
+            out.append(m[0].rstrip(".-"))
+    for m in re.finditer(r"(?<![\w.])\d+(?:\.\d+){3}(?![\w]|\.\d)", text):
+        try:
+            out.append(str(ipaddress.IPv4Address(m[0])))
+        except ValueError:
+            pass
+    out += [m[0] for m in re.finditer(r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])", text)]
+    out += [m[0] for m in re.finditer(r"(?<![\w.+-])\d{13,19}(?![\w.-])", text) if luhn(m[0])]
+    return out
+
+
+def test_detection_on_the_tables_as_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    seen = {}
+    for r in mentions(docs).where("kind in ('email', 'ip', 'ssn', 'card')").collect():
+        seen.setdefault(r.k, set()).add(re.sub(r"[ -]", "", r.surface) if r.kind == "card" else r.surface)
+    done = {r.doc_id: r.text or "" for r in pseudonymize(docs, "k").collect()}
+    assert any(spans(t) for t in texts.values())
+    for i, t in texts.items():
+        assert set(spans(t)) <= seen.get(i, set()), i
+        assert not any(x in done[i] for x in spans(t)), i
