@@ -18,15 +18,16 @@ ROWS, QUERIES = 200_000, 20_000
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, c): bit i of c is 1 where element i is above 0; rows whose vector is null or over 64 long get a null code.
+    """(id, c): bit i of c is 1 where element i is above 0; a null vector has a null code.
 
-    A null or missing element counts as 0.
+    A null or missing element counts as 0. A code has 64 bits: a longer vector is an error
+    when its code is read, since leaving it out would lose neighbours.
     """
     bits = [F.when(F.get(F.col(vector_col), F.lit(i)) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
     code = bits[0]
     for b in bits[1:]:
         code = code.bitwiseOR(b)
-    return vectors.select(F.col(id_col).alias("id"), F.when(F.size(vector_col).between(0, 64), code).alias("c"))
+    return vectors.select(F.col(id_col).alias("id"), F.when(F.size(vector_col) > 64, F.raise_error(F.lit("sign_codes: a vector of over 64 elements")).cast("long")).when(F.size(vector_col) >= 0, code).alias("c"))
 
 
 def _masks(radius: int) -> np.ndarray:
@@ -45,6 +46,7 @@ class Index:
             self.order.append(order)
             self.start.append(np.searchsorted(value[order], np.arange((1 << WIDTH) + 1)))
         self.masks: dict[int, np.ndarray] = {}
+        self.seen, self.asked = np.zeros(len(codes), np.int32), 0  # by the number of the last query that saw a row
 
     def nearest(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, distances) that hold the k nearest items, with all ties of the kth; a row counts as often as its weight.
@@ -54,7 +56,7 @@ class Index:
         would differ in more bits than that. The search ends when the kth verified
         distance is within that bound, or every segment value was tried.
         """
-        seen = np.zeros(len(self.codes), bool)
+        self.asked += 1
         rows, distances = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for r in range(WIDTH + 1):
             if r not in self.masks:
@@ -64,8 +66,8 @@ class Index:
                 first, n = self.start[s][values], self.start[s][values + 1] - self.start[s][values]
                 ends = np.cumsum(n)
                 found = self.order[s][np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]))]
-                found = found[~seen[found]]
-                seen[found] = True
+                found = found[self.seen[found] != self.asked]
+                self.seen[found] = self.asked
                 d = np.bitwise_count(self.codes[found] ^ np.uint64(query)).astype(np.int64)
                 rows, distances = np.concatenate([rows, found]), np.concatenate([distances, d])
                 order = np.argsort(distances, kind="stable")

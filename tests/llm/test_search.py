@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quireflow.llm import code_search
 from quireflow.llm.code_search import sign_codes, top_k
 
@@ -25,6 +27,9 @@ def test_top_k_as_brute_force(spark, monkeypatch):
 
 
 def test_sign_codes(spark):
-    v = [(1, [0.5, -1.0, 2.0]), (2, None), (3, []), (4, [None, 1.0]), (5, [1.0] * 64), (6, [1.0] * 65)]
+    v = [(1, [0.5, -1.0, 2.0]), (2, None), (3, []), (4, [None, 1.0]), (5, [1.0] * 64)]
     got = {r.id: r.c for r in sign_codes(spark.createDataFrame(v, "vec_id long, embedding array<float>"), "vec_id", "embedding").collect()}
-    assert got == {1: 5, 2: None, 3: 0, 4: 2, 5: -1, 6: None}
+    assert got == {1: 5, 2: None, 3: 0, 4: 2, 5: -1}
+    long = sign_codes(spark.createDataFrame([(6, [1.0] * 65)], "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    with pytest.raises(Exception, match="over 64 elements"):
+        long.collect()
