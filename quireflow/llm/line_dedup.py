@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.store import written
 
-SPACE = "[\\x20\\x09-\\x0D]"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame, site_col: str, id_col: str, text_col: str) -> DataFrame:
     """(k, t, site, pos, h, g) of each line with a word; t is a hash of the text, h and g of the trimmed line."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    line = F.regexp_replace("line", f"^{SPACE}+|{SPACE}+$", "")
+    line = F.btrim("line", F.lit(SPACES))
     each = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("t"), F.xxhash64(F.col(site_col)).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     return each.select("k", "t", "site", "pos", line.alias("line")).where("line <> ''").select("k", "t", "site", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"))
 
@@ -52,8 +52,11 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, precision: int = 12, site_c
     gone = gone.select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("p").alias("__p"))
     own = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     both = own.join(gone, own[id_col].eqNullSafe(gone["__k"]) & (own["__h"] == gone["__t"]), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__p", i)), "\n")
+    both = both.select("*", F.split(F.col(text_col), "\n").alias("__l"))
+    lines = F.col("__l")
+    # Every line with its place, less those at the places to go: one hash set, however many lines there are.
+    at = F.sequence(F.lit(0), F.size(lines) - 1)
+    kept = F.array_join(F.transform(F.array_except(at, F.col("__p")), lambda i: F.get("__l", i)), "\n")
     columns = [F.when(F.col("__p").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     worded = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))), F.lit(0))
     return both.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(worded).cast("long").alias("n_lines"), F.greatest(F.lit(0), F.coalesce(F.size("__p"), F.lit(0))).cast("long").alias("n_removed"))
