@@ -9,18 +9,16 @@ from quireflow.llm.store import written
 
 SPACE = "[\\x20\\x09-\\x0D]"
 
-#: Measure: (expression, quantile that gives the spread, least distance of the cut-off from the median, both sides?).
-#: Spreads are in quartile distances of a normal law, see ``OUT``. Where most documents have none of
-#: what is measured, only a high quantile has any spread, and the least distance stands for groups
-#: in which that too is zero; it is below what the base rules or the measure allow.
+#: Measure: (expression, outer quantile, how many times its distance from the median a cut-off is, least
+#: distance, both sides?). Junk has symbols and stays out of the quantile as long as it is under 15 % of a
+#: group; most texts have no repeats at all, so there only the 99th percentile says what is usual. The least
+#: distance is what one word or line in fifty makes; it decides in groups where the quantile is the median.
 MEASURES = {
-    "symbols": ("n_symbols / n_words", 0.75, 0.05, False),
-    "repeats": ("n_repeat_words / n_words", 0.95, 0.1, False),
-    "dup_lines": ("n_dup_lines / n_lines", 0.95, 0.2, False),
-    "word_length": ("word_chars / n_words", 0.75, 0.5, True),
+    "symbols": ("n_symbols / n_words", 0.85, 3.0, 0.02, False),
+    "repeats": ("n_repeat_words / n_words", 0.99, 1.5, 0.02, False),
+    "dup_lines": ("n_dup_lines / n_lines", 0.99, 1.5, 0.02, False),
+    "word_length": ("word_chars / n_words", 0.75, 8.0, 0.02, True),
 }
-#: How far out these quantiles of a normal law are, in distances of its quartile.
-OUT = {0.75: 1.0, 0.95: 1.6449 / 0.6745}
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), window: int = 5) -> DataFrame:
@@ -56,14 +54,14 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     return d.select(*counts, F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), min_words: int = 10, max_repeat_percent: int = 20, spread: float = 8.0) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), min_words: int = 10, max_repeat_percent: int = 20, rules: dict[str, tuple] = MEASURES) -> DataFrame:
     """One row per input row: (k, t, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
 
     base_failed: fewer than ``min_words`` words, or over ``max_repeat_percent`` % of them in
     windows found twice. For each group and measure, a KLL sketch over the documents that did
     not fail gives the median and an outer quantile; a document is kept if it didn't fail and
-    each measure is no farther from its group's median than ``spread`` quartile distances, as
-    the quantile of ``MEASURES`` gives them (or the least distance there, if more). Sketches merge, so groups of any size cost a
+    each measure is no farther from its group's median than ``rules`` say: a multiple of the
+    distance of that quantile, or the least distance there, if more. Sketches merge, so groups of any size cost a
     map-side combine; the filter is a join on the group. A null group value is a group of
     its own; a null or empty text has no words and fails; repeated rows each get a row; an
     empty table gives an empty one; other columns are not read.
@@ -71,17 +69,17 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     groups = [f"g{i}" for i in range(len(group_cols))]
     m = measures(docs, id_col, text_col, group_cols)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    ratios = [F.when(~failed & (F.col("n_words") > 0) & (F.col("n_lines") > 0), F.expr(f"cast({e} as double)")).alias(name) for name, (e, _, _, _) in MEASURES.items()]
+    ratios = [F.when(~failed & (F.col("n_words") > 0) & (F.col("n_lines") > 0), F.expr(f"cast({e} as double)")).alias(name) for name, (e, *_) in rules.items()]
     m = written(m.select("*", *ratios), "measures")
-    sketch = m.groupBy(*groups).agg(*[F.kll_sketch_agg_double(name).alias(name) for name in MEASURES], *[F.count(name).alias(f"n_{name}") for name in MEASURES])
+    sketch = m.groupBy(*groups).agg(*[F.kll_sketch_agg_double(name).alias(name) for name in rules], *[F.count(name).alias(f"n_{name}") for name in rules])
     cuts = []
-    for name, (_, outer, _, _) in MEASURES.items():
+    for name, (_, outer, *_) in rules.items():
         q = F.kll_sketch_get_quantile_double(F.col(name), F.array(F.lit(1 - outer), F.lit(0.5), F.lit(outer)))
         cuts.append(F.when(F.col(f"n_{name}") > 0, q).alias(f"q_{name}"))  # an empty sketch has no quantiles
     sketch = sketch.select(*[F.col(g).alias(f"_{g}") for g in groups], *cuts)
     limits = []
-    for name, (_, outer, least, both) in MEASURES.items():
-        q, times = F.col(f"q_{name}"), spread / OUT[outer]
+    for name, (_, _, times, least, both) in rules.items():
+        q = F.col(f"q_{name}")
         limits.append((q[1] + F.greatest(F.lit(least), times * (q[2] - q[1]))).alias(f"hi_{name}"))
         limits.append((q[1] - F.greatest(F.lit(least), times * (q[1] - q[0])) if both else F.lit(0.0)).alias(f"lo_{name}"))
     sketch = sketch.select(*[f"_{g}" for g in groups], *limits)
@@ -90,7 +88,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
         on = F.col(g).eqNullSafe(F.col(f"_{g}")) if on is None else on & F.col(g).eqNullSafe(F.col(f"_{g}"))
     judged = m.join(sketch, on, "left")
     fine = ~failed
-    for name in MEASURES:
+    for name in rules:
         fine = fine & F.coalesce(F.col(name).between(F.col(f"lo_{name}"), F.col(f"hi_{name}")), F.lit(True))
     return judged.select("k", "t", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), fine.alias("kept"))
 

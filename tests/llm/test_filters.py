@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 from math import ceil
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -76,6 +78,39 @@ def test_each_quality_measure_rejects_an_outlier(spark):
     assert [got[200 + i].n_repeat_words for i in range(4)] == [0, 16, 0, 0] and got[202].n_dup_lines == 4
 
 
+def quantile(values, q):
+    return sorted(values)[min(len(values) - 1, int(q * len(values)))]
+
+
+def test_cutoffs_come_from_each_group(spark):
+    """Verdicts as with exact quantiles where nothing is near a cut-off; what is usual in one group is rejected in another."""
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in ("al", "en", "ir", "ost") for c in "klmnprstvz"]
+
+    def text(n, symbols, twice):
+        w = [rng.choice(words) for _ in range(n)]
+        return " ".join([*w, *w[: 5 * twice], *[rng.choice(words) + "#" for _ in range(symbols)]])
+
+    rows = [(i, text(100, rng.randint(0, 4), rng.random() < 0.03), "en", "plain") for i in range(1500)]
+    rows += [(2000 + i, text(100, rng.randint(10, 40), rng.random() < 0.3), "en", "code") for i in range(1500)]
+    rows += [(5000 + i, text(100, 30, 0), "en", "plain") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.k: r for r in verdicts(docs).collect()}
+    for name, ratio, count in (("symbols", lambda r: r.n_symbols / r.n_words, 3.0), ("repeats", lambda r: r.n_repeat_words / r.n_words, 1.5)):
+        outer = {"symbols": 0.85, "repeats": 0.99}[name]
+        cut = {}
+        for g, ids in (("plain", [*range(1500), *range(5000, 5020)]), ("code", range(2000, 3500))):
+            values = [ratio(got[i]) for i in ids]
+            middle = quantile(values, 0.5)
+            cut[g] = middle + max(0.02, count * (quantile(values, outer) - middle))
+            far = [i for i in ids if ratio(got[i]) > 1.2 * cut[g]]
+            assert all(not got[i].kept for i in far)
+        assert cut["plain"] != cut["code"]
+    assert not any(got[5000 + i].kept for i in range(20))
+    assert sum(got[2000 + i].kept for i in range(1500)) > 1450 and sum(got[i].kept for i in range(1500)) > 1450
+    assert {k: r.kept for k, r in got.items()} == {r.k: r.kept for r in verdicts(docs.repartition(7)).collect()}
+
+
 def test_lines_as_brute_force(spark):
     rng = random.Random(6)
     common = [f"Common line {i}" for i in range(12)]
@@ -159,3 +194,13 @@ def test_packing(spark):
         assert at <= 4096
     assert len(bins) == ceil(sum(r.length for r in got) / 4096)
     assert packed_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_long_lines_and_many_lines(spark, tmp_path):
+    common = "shared boilerplate line"
+    texts = ["a" + " " * 1_000_000 + "b", "\n".join(f"line {i}" for i in range(100_000)) + "\n" + common, "\n" * 500_000, common]
+    rows = [(i, t, f"site{i % 3}") for i, t in enumerate([*texts, common, common])]
+    pq.write_table(pa.table(list(map(list, zip(*rows))), names=["doc_id", "text", "source"]), tmp_path / "long.parquet")
+    got = {r.doc_id: r for r in line_dedup(spark.read.parquet(str(tmp_path / "long.parquet")), min_sites=3).collect()}
+    assert got[0].text == texts[0] and got[1].text == texts[1] and got[2].text == texts[2]
+    assert [got[i].text for i in (3, 4, 5)] == ["", "", ""] and got[1].n_lines == 100_001 and got[2].n_lines == 0
