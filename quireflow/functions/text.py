@@ -10,11 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u0085\u001c-\u001f]"
+#: The same signs, for trims: a pattern that ends in $ would look at each inner run of white space again for each of its signs.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 HAN = r"[\u4e00-\u9fff]"
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def clean(x: Column) -> Column:

@@ -19,16 +19,18 @@ def failures(df: DataFrame, audit: str, message: Column, path: Column | str = "p
     return df.select("book_id", F.lit(audit).alias("audit"), (F.col(seq) if isinstance(seq, str) else seq).cast("long").alias("seq"), (F.col(path) if isinstance(path, str) else path).alias("path"), message.alias("message"))
 
 
-def pair_failures(pairs: DataFrame, min_ratio: float = 0.22, exceptions: DataFrame | None = None) -> DataFrame:
+def pair_failures(pairs: DataFrame, min_ratio: float | Column = 0.22, exceptions: DataFrame | None = None) -> DataFrame:
     """Quality of (book_id, path, seq, tag, text, target): a target must be there, be long enough, and hold nothing banned.
 
-    Headings and texts under 50 signs have no least length. One row for each banned text.
+    Headings and texts under 50 signs have no least length. ``min_ratio`` may be a column of
+    ``pairs``, such as the ratio of the book's register. One row for each banned text.
     """
+    least = min_ratio if isinstance(min_ratio, Column) else F.lit(float(min_ratio))
     missing = pairs.where("text <> '' and target is null")
     if exceptions is not None:
         missing = missing.join(exceptions.select("text"), "text", "left_anti")
     lost = failures(missing, "translation_quality", F.concat(F.lit("no target: "), F.left("text", F.lit(120))))
-    long_enough = F.length("target") >= F.lit(float(min_ratio)) * F.length("text")
+    long_enough = F.length("target") >= least * F.length("text")
     short = pairs.where("text <> '' and target is not null").where(~F.col("tag").rlike("^h[1-6]$") & (F.length("text") >= 50) & ~long_enough)
     short = failures(short, "translation_quality", F.concat(F.lit("too short: "), F.left("text", F.lit(120))))
     found = F.filter(F.array(*map(F.lit, BANNED)), lambda x: F.col("target").contains(x))
@@ -63,33 +65,45 @@ def entry_match(source: DataFrame, entries: DataFrame) -> DataFrame:
     return source.join(hit, ["book_id", "src_pos"], "left")
 
 
-def structural_failures(source: DataFrame, entries: DataFrame, output: DataFrame, translated: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
-    """The structural checks of each book.
+def structural_failures(source: DataFrame, entries: DataFrame, output: DataFrame, translated: DataFrame, chapters: DataFrame | None = None, images: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """The structural checks of each book, one row for each fault.
 
     source (book_id, src_pos, src_idref, src_href); entries (book_id, pos, id, idref, href, role,
-    output_strategy, reason); output (book_id, idref) of the written spine; translated
-    (book_id, id) with a translation; chapters as in ``state.fold``.
+    output_strategy, reason, and original_idref if there is one); output (book_id, idref, href)
+    of the written spine; translated (book_id, id) with a translation; chapters as in
+    ``state.fold``; images (book_id, id, name) on source-only pages with names (book_id, name)
+    of the output's images. A book of ``source`` without entries fails. A cover counts as
+    kept if its entry is written or anything written is called cover; so does a body chapter,
+    or any page that isn't a contents list. Without the paths of the output, entries alone count.
     """
+    from quireflow.operators.books import lost_images
     from quireflow.operators.state import invalid
 
     out = output.select("book_id", F.col("idref").alias("o")).distinct()
-    ids = entries.select("book_id", "pos", F.explode(F.array_distinct(F.array("id", "idref"))).alias("o"))
+    own = [c for c in ("id", "idref", "original_idref", "src_idref") if c in entries.columns]
+    ids = entries.select("book_id", "pos", F.explode(F.array_distinct(F.array(*own))).alias("o"))
     nav = entries.where("output_strategy = 'nav_generated'").select("book_id", "pos", F.lit("nav").alias("o"))
-    there = ids.union(nav).join(out, ["book_id", "o"], "left_semi").select("book_id", "pos").distinct().withColumn("written", F.lit(True))
+    there = ids.union(nav).where("o <> ''").join(out, ["book_id", "o"], "left_semi").select("book_id", "pos").distinct().withColumn("written", F.lit(True))
     dropped = F.coalesce((F.col("output_strategy") == "drop_explicit") & (F.trim(F.coalesce("reason", F.lit(""))) != ""), F.lit(False))
-    matched = entry_match(source, entries).join(entries.select("book_id", "pos", "role", "output_strategy", "reason"), ["book_id", "pos"], "left").join(there, ["book_id", "pos"], "left").withColumn("dropped", dropped)
+    matched = entry_match(source, entries).join(entries.select("book_id", "pos", "output_strategy", "reason"), ["book_id", "pos"], "left").join(there, ["book_id", "pos"], "left").withColumn("dropped", dropped)
     matched = matched.withColumn("path", F.col("src_href")).withColumn("seq", F.col("src_pos"))
-    made = output.groupBy("book_id").agg(F.count("*").alias("n_out"))
-    counts = matched.groupBy("book_id").agg(F.count_if(~F.col("dropped")).alias("expected"), F.count_if(F.col("src_href").rlike("(?i)cover")).alias("covers"), F.count_if((F.col("role") == "cover") & F.col("written")).alias("covered"), F.count_if((F.col("role") == "body") & F.col("written")).alias("bodies"))
-    counts = counts.join(made, "book_id", "left").withColumn("n_out", F.coalesce("n_out", F.lit(0))).withColumn("path", F.lit(""))
+    written = entries.join(there, ["book_id", "pos"]).groupBy("book_id").agg(F.count_if(F.col("role") == "cover").alias("covered"), F.count_if(F.col("role").isin("body", "epilogue")).alias("bodies"))
+    href = F.col("href") if "href" in output.columns else F.lit(None).cast("string")
+    called = F.when(href.isNotNull(), F.lower(F.concat_ws(" ", "idref", href)))
+    made = output.groupBy("book_id").agg(F.count("*").alias("n_out"), F.count_if(called.contains("cover")).alias("like_cover"), F.count_if((F.col("idref") != "nav") & ~F.lower(href).contains("nav")).alias("like_body"))
+    counts = matched.groupBy("book_id").agg(F.count_if(~F.col("dropped")).alias("expected"), F.count_if(F.col("src_href").rlike("(?i)cover")).alias("covers"))
+    counts = counts.join(written, "book_id", "left").join(made, "book_id", "left").withColumn("path", F.lit(""))
+    counts = counts.na.fill(0, ["covered", "bodies", "n_out", "like_cover", "like_body"])
     few = failures(counts.where("n_out < expected"), "structural", F.format_string("spine has %d of %d", "n_out", "expected"), seq=F.lit(-3))
-    cover = failures(counts.where("covers > 0 and covered = 0"), "structural", F.lit("cover lost"), seq=F.lit(-2))
-    body = failures(counts.where("bodies = 0"), "structural", F.lit("no body chapter"), seq=F.lit(-1))
+    cover = failures(counts.where("covers > 0 and covered = 0 and like_cover = 0"), "structural", F.lit("cover lost"), seq=F.lit(-2))
+    body = failures(counts.where("bodies = 0 and like_body = 0"), "structural", F.lit("no body chapter"), seq=F.lit(-1))
     lost = failures(matched.where("not dropped and written is null"), "structural", F.concat(F.lit("not in the output: "), F.col("src_idref")))
     bare = entries.where("output_strategy = 'translate'").join(translated.select("book_id", "id"), ["book_id", "id"], "left_anti").withColumn("path", F.col("href")).withColumn("seq", F.col("pos"))
     out_rows = [few, lost, failures(bare, "structural", F.concat(F.lit("no translation: "), F.col("id"))), cover, body]
     if chapters is not None:
         out_rows.append(failures(invalid(chapters).withColumn("path", F.col("chapter_id")), "structural", F.concat(F.lit("state: "), F.col("problem")), seq=F.lit(0)))
+    if images is not None:
+        out_rows.append(lost_images(images, names, "structural"))
     return reduce(DataFrame.unionByName, out_rows)
 
 
@@ -112,13 +126,36 @@ def translation_warnings(n_source: Column, target: Column, n_target: Column, min
     return F.when(body == "", F.array(F.lit("empty"))).otherwise(F.filter(found, lambda x: x.isNotNull()))
 
 
-def suite(books: DataFrame, *audits: DataFrame) -> DataFrame:
-    """(book_id, audit, status, n_failures, messages): every audit of every book, also those without a failure."""
-    every = books.select("book_id").distinct().withColumn("audit", F.explode(F.array(*map(F.lit, AUDITS))))
-    rows = reduce(DataFrame.unionByName, audits).groupBy("book_id", "audit").agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]).alias("messages"))
+def suite(books: DataFrame, audits: dict[str, DataFrame]) -> DataFrame:
+    """(book_id, audit, status, n_failures, messages): every audit of every book, also those without a failure.
+
+    ``audits`` has the failures of each audit that ran. One that did not run is "not run", and a
+    book doesn't pass without it. Messages are in order of place, then text.
+    """
+    unknown = set(audits) - set(AUDITS)
+    if unknown:
+        raise ValueError(f"unknown audits: {sorted(unknown)}")
+    ran = F.array(*[F.struct(F.lit(a).alias("audit"), F.lit(a in audits).alias("ran")) for a in AUDITS])
+    every = books.select("book_id").distinct().withColumn("a", F.explode(ran)).select("book_id", "a.audit", "a.ran")
+    if not audits:
+        return every.select("book_id", "audit", F.lit("not run").alias("status"), F.lit(0).cast("long").alias("n_failures"), F.array().cast("array<string>").alias("messages"))
+    named = [df.withColumn("audit", F.lit(a)) for a, df in audits.items()]
+    rows = reduce(DataFrame.unionByName, named).groupBy("book_id", "audit").agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]).alias("messages"))
     done = every.join(rows, ["book_id", "audit"], "left")
-    return done.select("book_id", "audit", F.when(F.col("n") > 0, "fail").otherwise("pass").alias("status"), F.coalesce("n", F.lit(0)).alias("n_failures"), F.coalesce("messages", F.array().cast("array<string>")).alias("messages"))
+    status = F.when(~F.col("ran"), "not run").when(F.col("n") > 0, "fail").otherwise("pass")
+    return done.select("book_id", "audit", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n_failures"), F.coalesce("messages", F.array().cast("array<string>")).alias("messages"))
 
 
 def all_passed(results: DataFrame) -> DataFrame:
-    return results.groupBy("book_id").agg(F.bool_and(F.col("status") != "fail").alias("passed"), F.count_if(F.col("status") == "fail").alias("n_failed"))
+    """(book_id, passed, n_failed): a book passes if each audit ran and passed."""
+    return results.groupBy("book_id").agg(F.bool_and(F.col("status") == "pass").alias("passed"), F.count_if(F.col("status") == "fail").alias("n_failed"))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """(book_id, summary): counts, then a line for each audit and one for each message below it, in the order of ``AUDITS``."""
+    order = F.array_position(F.array(*map(F.lit, AUDITS)), F.col("audit"))
+    lines = F.concat(F.array(F.concat_ws(" ", F.upper("status"), "audit")), F.transform("messages", lambda m: F.concat(F.lit("  "), m)))
+    each = results.select("book_id", "status", F.struct(order.alias("o"), lines.alias("l")).alias("x"))
+    made = each.groupBy("book_id").agg(F.count_if(F.col("status") == "pass").alias("p"), F.count_if(F.col("status") != "pass").alias("f"), F.sort_array(F.collect_list("x")).alias("x"))
+    head = F.concat(F.col("p").cast("string"), F.lit(" passed, "), F.col("f").cast("string"), F.lit(" not"))
+    return made.select("book_id", F.array_join(F.concat(F.array(head), F.flatten(F.transform("x", lambda x: x["l"]))), "\n").alias("summary"))

@@ -38,13 +38,13 @@ def pairs(nodes: DataFrame, paragraphs: DataFrame, labels: DataFrame | None = No
     nodes (item, n from 1, tag, text, strategy), paragraphs (item, n from 1, text), labels
     (text, label). If an item has one node more than it has paragraphs and its first node is a
     bare "introduction" or "chapter", or a heading with a label of its own, that node takes
-    the label and the paragraphs start at the second. Surplus paragraphs are dropped. Gives
+    the label and the paragraphs start at the second. Of labels for one text the smallest counts. Surplus paragraphs are dropped. Gives
     (item, n, text, target, unpaired); nodes without text, and identifiers without a
     target, are left out.
     """
     texts = nodes.withColumn("clean", clean(F.col("text")))
     if labels is not None:
-        texts = texts.join(labels.select(F.col("text").alias("clean"), F.col("label").alias("own")), "clean", "left")
+        texts = texts.join(labels.groupBy(F.col("text").alias("clean")).agg(F.min("label").alias("own")), "clean", "left")
     else:
         texts = texts.withColumn("own", F.lit(None).cast("string"))
     first = F.struct("tag", "clean", "own")
@@ -105,7 +105,7 @@ def numbered(texts: DataFrame, item: str, text: str, separator: str) -> DataFram
 def merged_overrides(titles: DataFrame, entries: DataFrame, known: DataFrame, overwrite: bool = False) -> DataFrame:
     """(book_id, key, value) of label overrides: those known, and the titles by first heading; known ones win unless ``overwrite``."""
     new = entries.join(titles, (entries.book_id == titles.book_id) & (entries.first_heading == titles.source)).select(entries.book_id, F.col("idref").alias("key"), F.col("target").alias("new"))
-    new = new.dropDuplicates(["book_id", "key"])
+    new = new.groupBy("book_id", "key").agg(F.min("new").alias("new"))
     both = known.join(new, ["book_id", "key"], "full_outer")
     order = ("new", "value") if overwrite else ("value", "new")
     return both.select("book_id", "key", F.coalesce(*order).alias("value"))

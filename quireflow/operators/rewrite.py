@@ -132,15 +132,20 @@ def bilingual_pages(pages: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def patched_ncx(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(book_id, xml) with the points of whole pages relabelled; documents (book_id, xml), labels (book_id, path, label), the first of a file name counts."""
-    first = labels.groupBy("book_id", F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.first("label").alias("label"))
+    """(book_id, xml) with the points of whole pages relabelled; documents (book_id, xml), labels (book_id, path, label, pos if they have an order), the first of a file name counts. Null XML stays null, malformed XML as it is."""
+    order = F.struct("pos", "path") if "pos" in labels.columns else F.struct("path", "label")
+    first = labels.groupBy("book_id", F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.min_by("label", order).alias("label"))
     maps = first.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "label"))).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for xml, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                root, known = ElementTree.fromstring(xml), dict(m or [])
+                try:
+                    root, known = ElementTree.fromstring(xml or ""), dict(m or [])
+                except ElementTree.ParseError:
+                    out.append(xml)
+                    continue
                 space = root.tag.partition("}")[0] + "}" if root.tag.startswith("{") else ""
                 if space:
                     ElementTree.register_namespace("", space[1:-1])
@@ -177,7 +182,7 @@ def minimal_package(entries: DataFrame, assets: DataFrame, books: DataFrame) ->
     pages = pages.select("book_id", "o", item(F.col("idref")).alias("i"), F.concat(F.lit('<itemref idref="'), esc(F.col("idref")), F.lit('"/>')).alias("r"))
     extra = assets.join(books, "book_id").select("book_id", F.concat(F.lit("1"), "path").alias("o"), item(F.concat(F.lit("a_"), safe_uid(F.col("path")))).alias("i"), F.lit("").alias("r"))
     body = pages.union(extra).groupBy("book_id").agg(listed(F.col("i")).alias("items"), listed(F.col("r")).alias("refs")).join(books, "book_id")
-    head = F.concat(F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="bookid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="bookid">'), esc(F.col("book_id")), F.lit("</dc:identifier><dc:title>"), esc(F.coalesce("title", F.lit("Book"))), F.lit("</dc:title><dc:language>zh-Hant</dc:language></metadata><manifest>"))
+    head = F.concat(F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">'), esc(F.col("book_id")), F.lit("</dc:identifier><dc:title>"), esc(F.coalesce("title", F.lit("Book"))), F.lit("</dc:title><dc:language>zh-Hant</dc:language></metadata><manifest>"))
     return body.select("book_id", F.concat(head, "items", F.lit("</manifest><spine>"), "refs", F.lit("</spine></package>")).alias("opf"))
 
 

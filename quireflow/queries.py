@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as T
-from quireflow.operators import dom, gates, pairing, registers, state
+from quireflow.operators import books, dom, gates, pairing, registers, state
 from quireflow.plans.spine import classified
 
 IDREFS = "cover titlepage copyright dedication toc part chap chap notes acknowledgments author promo".split()
@@ -162,11 +162,15 @@ def positional_pairs(spark, sf_dir):
     return pairing.pairs(nodes, pairing.numbered(t, "item", "target", r"\."))
 
 
-def _quality_pairs(spark, sf_dir) -> DataFrame:
+def _paired(lines: DataFrame, book: Column) -> DataFrame:
     words = F.repeat(F.lit("譯"), F.floor(F.length("line") * (F.col("doc_id") % 5) / 10).cast("int"))
     target = F.when(F.col("line_no") % 13 != 12, F.concat(words, F.when(F.col("doc_id") % 11 == 0, "PARTII").otherwise("")))
     tag = F.when(F.col("line_no") % 9 == 0, "h2").otherwise("p")
-    return lines(spark, sf_dir).select(F.col("doc_id").alias("book_id"), F.col("line_no").alias("seq"), F.lit("p").alias("path"), tag.alias("tag"), F.col("line").alias("text"), target.alias("target"))
+    return lines.select(book.alias("book_id"), F.col("line_no").alias("seq"), F.lit("p").alias("path"), tag.alias("tag"), F.col("line").alias("text"), target.alias("target"))
+
+
+def _quality_pairs(spark, sf_dir) -> DataFrame:
+    return _paired(lines(spark, sf_dir), F.col("doc_id"))
 
 
 QUALITY = """quality AS (
@@ -196,22 +200,66 @@ def coverage_gate(spark, sf_dir):
     return gates.coverage_failures(_quality_pairs(spark, sf_dir), _exceptions(spark, sf_dir)).drop("path")
 
 
-def audit_suite(spark, sf_dir):
-    pairs = _quality_pairs(spark, sf_dir)
-    done = gates.suite(pairs.select("book_id"), gates.pair_failures(pairs), gates.coverage_failures(pairs, _exceptions(spark, sf_dir)))
-    return done.select("book_id", "audit", "status", "n_failures")
+HOST = "^https?://([^/]+)"
+
+
+def _structural(spark, sf_dir) -> DataFrame:
+    """Structural failures of the books of ``spine`` after cuts by place: every check but that of the state has failing rows."""
+    s = spine(spark, sf_dir).withColumn("href", F.when(F.col("idref") == "cover", F.concat(F.lit("text/cover_"), "pos", F.lit(".xhtml"))).otherwise(F.col("href"))).withColumn("idref", F.concat_ws("_", "idref", "pos"))
+    cut = F.col("pos") % 11 == 5
+    e = s.where("pos % 17 <> 0").withColumn("output_strategy", F.when(cut, "drop_explicit").otherwise(F.col("output_strategy"))).withColumn("reason", F.when(cut & (F.col("pos") % 2 == 0), "cut").otherwise(" "))
+    o = e.where("output_strategy <> 'drop_explicit' and pos % 13 <> 0 and not (length(book_id) % 2 = 0 and role = 'cover')")
+    o = o.select("book_id", F.when(F.col("pos") % 2 == 0, F.col("id")).otherwise(F.col("idref")).alias("idref"), "href")
+    images = e.where("output_strategy = 'source_only'").select("book_id", "id", F.format_string("img_%d.png", (F.col("pos") % 4).cast("int")).alias("name"))
+    names = e.select("book_id", F.explode(F.array(F.lit("img_0.png"), F.lit("img_2.png"))).alias("name"))
+    source = s.select("book_id", F.col("pos").alias("src_pos"), F.col("idref").alias("src_idref"), F.col("href").alias("src_href"))
+    return gates.structural_failures(source, e, o, e.where("output_strategy = 'translate' and pos % 7 <> 3"), images=images, names=names)
+
+
+def structural_gate(spark, sf_dir):
+    return _structural(spark, sf_dir).drop("audit")
+
+
+STRUCTURAL = f"""s AS (
+  SELECT book_id, pos, id, role, output_strategy, [{', '.join(f"'{x}'" for x in IDREFS)}][1 + (pos - 1) % {len(IDREFS)}] || '_' || pos AS idref,
+    CASE WHEN (pos - 1) % {len(IDREFS)} = 0 THEN 'text/cover_' || pos || '.xhtml' ELSE 'text/p_' || pos || '.xhtml' END AS href FROM entries
+), e AS (
+  SELECT * REPLACE (CASE WHEN pos % 11 = 5 THEN 'drop_explicit' ELSE output_strategy END AS output_strategy), CASE WHEN pos % 11 = 5 AND pos % 2 = 0 THEN 'cut' ELSE ' ' END AS reason FROM s WHERE pos % 17 <> 0
+), o AS (
+  SELECT * FROM e WHERE output_strategy <> 'drop_explicit' AND pos % 13 <> 0 AND NOT (length(book_id) % 2 = 0 AND role = 'cover')
+), m AS (
+  SELECT s.book_id, s.pos, s.idref, s.href, coalesce(e.output_strategy = 'drop_explicit' AND trim(e.reason) <> '', false) AS gone, o.pos IS NOT NULL AS written
+  FROM s LEFT JOIN e ON s.book_id = e.book_id AND s.pos = e.pos LEFT JOIN o ON s.book_id = o.book_id AND s.pos = o.pos
+), per_book AS (
+  SELECT m.book_id, count(*) FILTER (NOT gone) AS expected, count(*) FILTER (written) AS n_out, count(*) FILTER (contains(href, 'cover')) AS covers, count(*) FILTER (written AND contains(href, 'cover')) AS kept_covers FROM m GROUP BY m.book_id
+), structural AS (
+  SELECT book_id, -3 AS seq, '' AS path, 'spine has ' || n_out || ' of ' || expected AS message FROM per_book WHERE n_out < expected
+  UNION ALL SELECT book_id, -2, '', 'cover lost' FROM per_book WHERE covers > 0 AND kept_covers = 0
+  UNION ALL SELECT book_id, -1, '', 'no body chapter' FROM per_book WHERE n_out = 0
+  UNION ALL SELECT book_id, pos, href, 'not in the output: ' || idref FROM m WHERE NOT gone AND NOT written
+  UNION ALL SELECT book_id, pos, href, 'no translation: ' || id FROM e WHERE output_strategy = 'translate' AND pos % 7 = 3
+  UNION ALL SELECT DISTINCT book_id, 0, id, 'image missing: img_' || (pos % 4) || '.png' FROM e WHERE output_strategy = 'source_only' AND pos % 4 IN (1, 3)
+)"""
 
 
-def suite_passed(spark, sf_dir):
-    pairs = _quality_pairs(spark, sf_dir)
-    return gates.all_passed(gates.suite(pairs.select("book_id"), gates.pair_failures(pairs), gates.coverage_failures(pairs, _exceptions(spark, sf_dir))))
+def _suite(spark, sf_dir) -> DataFrame:
+    """All four audits of the sites of ``pages`` as books."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", HOST, 1).alias("host"), "html")
+    texts = p.select(F.col("page_id").alias("doc_id"), "host", F.posexplode(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), 1)).alias("line_no", "line"))
+    pairs = _paired(texts, F.col("host"))
+    known = texts.where("doc_id % 10 = 0").select(F.col("line").alias("text")).distinct()
+    links = _links(spark, sf_dir).join(p.select("page_id", F.col("host").alias("book_id")), "page_id")
+    names = links.select("book_id", T.resolve_href(F.col("path"), F.col("href")).alias("name")).where("length(name) % 7 <> 0")
+    audits = {"structural": _structural(spark, sf_dir), "bilingual_coverage": gates.coverage_failures(pairs, known), "translation_quality": gates.pair_failures(pairs), "href_resolve": gates.href_failures(links, names)}
+    return gates.suite(p.select(F.col("host").alias("book_id")), audits)
 
 
-SUITE = """suite AS (
-  SELECT b.book_id, a.audit, CASE WHEN count(f.seq) > 0 THEN 'fail' ELSE 'pass' END AS status, count(f.seq) AS n_failures
-  FROM (SELECT DISTINCT book_id FROM quality) b CROSS JOIN (SELECT unnest(['structural', 'bilingual_coverage', 'translation_quality', 'href_resolve']) AS audit) a
-  LEFT JOIN (SELECT * FROM failed UNION ALL SELECT * FROM uncovered) f ON f.book_id = b.book_id AND f.audit = a.audit GROUP BY ALL
-)"""
+def audit_suite(spark, sf_dir):
+    return _suite(spark, sf_dir).select("book_id", "audit", "status", "n_failures")
+
+
+def suite_passed(spark, sf_dir):
+    return gates.all_passed(_suite(spark, sf_dir))
 
 
 def _links(spark, sf_dir) -> DataFrame:
@@ -238,6 +286,94 @@ def register_match(spark, sf_dir):
     return registers.matched(asked, hints).select("lang", "source", "register_id", "min_length_ratio")
 
 
+def register_rules(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", "source").distinct()
+    asked = d.withColumn("requested", F.concat_ws(" ", F.when(F.col("lang") == "en", "Plain").when(F.col("lang") == "de", "precise").otherwise("none"), "source")).withColumn("override", F.when(F.col("lang") == "fr", " Narrative ").when(F.col("source") == "src2", "nothing"))
+    hints = spark.createDataFrame([(1, "fiction", "literary plain prose", 0.22, ["Short.", " "]), (2, "narrative", "social narrative", 0.22, [" Keep dates. "]), (3, "academic", "exact precise", 0.30, [])], registers.REGISTER)
+    r = registers.resolved(asked, hints, ["Plain words."])
+    return r.select("lang", "source", "register_id", F.array_join("rules", "|").alias("rules"))
+
+
+def ratio_gate(spark, sf_dir):
+    """The quality gate with the least ratio of each book's own register."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.when(F.col("lang") == "en", "plain").otherwise("precise").alias("requested"))
+    hints = spark.createDataFrame([(1, "fiction", "literary plain prose", 0.22, []), (3, "academic", "exact precise", 0.30, [])], registers.REGISTER)
+    ratios = registers.matched(d, hints).select("book_id", "min_length_ratio")
+    pairs = _quality_pairs(spark, sf_dir).join(ratios, "book_id")
+    return gates.pair_failures(pairs, F.col("min_length_ratio")).where(F.col("message").startswith("too short")).drop("path", "audit")
+
+
+def _files(e: DataFrame) -> DataFrame:
+    """Files that some entries have: by id, by the old id, under the archive's path, under the local one."""
+    at = F.array(F.when(F.col("pos") % 3 == 0, F.concat(F.lit("chapters/"), "id", F.lit("_translation.txt"))), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("chapters/"), "translation_id", F.lit("_translation.txt"))), F.when(F.col("pos") % 5 == 0, F.concat(F.lit("text/p_"), "pos", F.lit(".xhtml"))), F.when(F.col("pos") % 4 == 0, F.concat(F.lit("chapters/"), "id", F.lit(".html"))))
+    return e.select("book_id", F.explode(at).alias("name")).where("name is not null").withColumn("text", F.upper("name"))
+
+
+def translation_files(spark, sf_dir):
+    e = spine(spark, sf_dir)
+    return books.translation_files(e, _files(e))
+
+
+def source_pages(spark, sf_dir):
+    e = spine(spark, sf_dir)
+    local = e.select("book_id", "id", F.concat(F.lit("OPS/"), "href").alias("original_path"), F.concat(F.lit("chapters/"), "id", F.lit(".html")).alias("href"), F.col("href").alias("src_href"))
+    return books.source_pages(local, _files(e), F.lit("OPS/content.opf"))
+
+
+def nav_paths(spark, sf_dir):
+    e = spine(spark, sf_dir).withColumn("original_path", F.lit("")).withColumn("src_href", F.concat(F.lit("OPS/"), "href")).withColumn("role", F.when(F.col("pos") % 5 == 0, "nav").otherwise(F.col("role")))
+    items = e.select("book_id", F.col("pos").alias("ordinal"), F.concat(F.lit("OPS/"), "href").alias("href"), F.when((F.col("pos") == 3) & (F.length("book_id") % 2 == 0), "scripted nav").otherwise("navigation").alias("properties"))
+    return books.nav_paths(e.select("book_id", F.lit("OPS/content.opf").alias("opf_path")).distinct(), items, e.where("length(book_id) % 3 <> 0"))
+
+
+def ncx_paths(spark, sf_dir):
+    e = spine(spark, sf_dir)
+    return books.ncx_paths(e.select("book_id", F.col("pos").alias("ordinal"), F.when(F.col("pos") % 4 == 3, F.concat(F.lit("OPS/T"), "pos", F.lit(".NCX"))).otherwise(F.col("href")).alias("name")))
+
+
+def file_lookup(spark, sf_dir):
+    e = spine(spark, sf_dir)
+    paths = e.withColumn("original_path", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("OPS/a%20b"), F.col("pos") % 4, F.lit(".xhtml#x")))).withColumn("src_href", F.concat(F.lit("p_"), F.col("pos") + 1, F.lit(".xhtml?q")))
+    return books.by_file_name(paths)
+
+
+def strict_nav(spark, sf_dir):
+    e = spine(spark, sf_dir).withColumn("first_heading", F.when(F.col("pos") % 2 == 1, F.concat(F.lit("The  part "), "id")).otherwise(F.col("first_heading")))
+    label = pairing.nav_label(F.col("first_heading"), F.when(F.col("pos") % 6 == 0, F.lit("章")), F.lit(None).cast("string"))
+    return books.unlabelled(e.withColumn("label", label)).select("book_id", "seq", "path", "message")
+
+
+def image_gate(spark, sf_dir):
+    e = spine(spark, sf_dir)
+    shown = e.select("book_id", "id", F.format_string("f%d.png", (F.col("pos") % 7).cast("int")).alias("name"))
+    return books.lost_images(shown, e.where("pos % 7 in (1, 2)").select("book_id", F.format_string("f%d.png", (F.col("pos") % 7).cast("int")).alias("name"))).select("book_id", "path", "message")
+
+
+def page_headings(spark, sf_dir):
+    """First heading of each page from its node table."""
+    return books.headings(_nodes(spark, sf_dir))
+
+
+def text_sizes(spark, sf_dir):
+    return books.text_sizes(_nodes(spark, sf_dir))
+
+
+def backfilled_entries(spark, sf_dir):
+    e = spine(spark, sf_dir)
+    none = lambda n, c: F.when(F.col("pos") % n != 0, c)
+    old = e.select("book_id", "pos", "id", F.lit(None).cast("string").alias("spine_id"), none(2, F.col("idref")).alias("src_idref"), none(3, F.col("href")).alias("src_href"), F.lit("").alias("original_idref"), none(5, F.concat(F.lit("OPS/"), "href")).alias("original_path"), "href", F.lit(None).cast("string").alias("linear"), F.lit("").alias("media_type"), none(7, F.col("role")).alias("role"), F.when(F.col("pos") % 2 == 0, F.col("char_count").cast("string")).otherwise("many").alias("char_count"), none(4, F.col("first_heading")).alias("first_heading"), none(5, F.col("output_strategy")).alias("output_strategy"), "translation_id", "parent_id", F.lit(None).cast("string").alias("reason"))
+    return books.backfilled(old).drop("linear", "media_type", "reason", "parent_id", "role")
+
+
+def json_round_trip(spark, sf_dir):
+    """Entries written as one JSON file a book and read back; broken files give their problem."""
+    e = spine(spark, sf_dir)
+    files = books.json_files(e, "spine", ["id", "role", "char_count"])
+    odd = F.length("book_id") % 4
+    files = files.withColumn("json", F.when(odd == 1, F.lit("[1]")).when(odd == 2, F.lit('{"x": 1}')).when(odd == 3, F.concat(F.lit("{"), "json")).otherwise(F.col("json")))
+    return books.json_rows(files, "spine", "id string, role string, char_count int").select("book_id", "pos", "x.id", "x.role", "x.char_count", "problem")
+
+
 EVENTS = {"click": "pending", "view": "source_ready", "purchase": "done", "error": "failed", "signup": "dropped"}
 
 
@@ -299,7 +435,7 @@ def dom_blocks(spark, sf_dir):
 
 
 def dom_links(spark, sf_dir):
-    return dom.links(_nodes(spark, sf_dir))
+    return dom.links(_nodes(spark, sf_dir)).select("doc", "href")
 
 
 def dom_uncovered(spark, sf_dir):
@@ -314,7 +450,7 @@ def chapter_prompts(spark, sf_dir):
     return c.select("conv_id", "turn", p.alias("prompt"))
 
 
-QUERIES = {f.__name__: f for f in (whitespace_clean, first_text, url_basename, english_lines, identifiers, ensured_han, hash_carryover, carryover_for, spine_entries, nav_tree, nav_labels, heading_prose, paragraph_checks, positional_pairs, quality_gate, coverage_gate, audit_suite, suite_passed, href_resolve, href_gate, register_match, state_fold, resume_set, status_counts, invalid_states, language_names, dom_text_nodes, dom_blocks, dom_links, dom_uncovered, chapter_prompts)}
+QUERIES = {f.__name__: f for f in (whitespace_clean, first_text, url_basename, english_lines, identifiers, ensured_han, hash_carryover, carryover_for, spine_entries, nav_tree, nav_labels, heading_prose, paragraph_checks, positional_pairs, quality_gate, coverage_gate, audit_suite, suite_passed, href_resolve, href_gate, register_match, state_fold, resume_set, status_counts, invalid_states, language_names, dom_text_nodes, dom_blocks, dom_links, dom_uncovered, chapter_prompts, structural_gate, register_rules, ratio_gate, translation_files, source_pages, nav_paths, ncx_paths, file_lookup, strict_nav, image_gate, page_headings, text_sizes, backfilled_entries, json_round_trip)}
 
 _NAV = "(output_strategy NOT IN ('drop_explicit', 'nav_generated') AND role <> 'nav')"
 _LABELS = ", ".join(f"'{k.replace(chr(39), chr(39) * 2)}': '{v}'" for k, v in (pairing.STRUCTURAL | pairing.CONTENTS).items())
@@ -331,6 +467,24 @@ _LINKS = """links AS (
     regexp_replace(CASE WHEN starts_with(t, '/') OR dir = '' THEN regexp_replace(t, '^\\./', '') ELSE dir || '/' || regexp_replace(t, '^\\./', '') END, '(.)/+$', '\\1') END AS name FROM targets
 )"""
 
+_SUITE = f"""hosts AS (
+  SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, html FROM pages
+), lines AS (
+  SELECT page_id AS doc_id, host, unnest(regexp_extract_all(html, '<p>([^<]*)</p>', 1)) AS line, generate_subscripts(regexp_extract_all(html, '<p>([^<]*)</p>', 1), 1) - 1 AS line_no FROM hosts
+), {QUALITY.replace('SELECT doc_id AS book_id', 'SELECT host AS book_id')}, named_links AS (
+  SELECT host, name FROM resolved JOIN hosts USING (page_id) WHERE name IS NOT NULL
+), every AS (
+  SELECT book_id, 'structural' AS audit FROM structural UNION ALL SELECT book_id, audit FROM failed UNION ALL SELECT book_id, audit FROM uncovered
+  UNION ALL SELECT host, 'href_resolve' FROM named_links WHERE length(name) % 7 = 0
+), suite AS (
+  SELECT b.host AS book_id, a.audit, CASE WHEN count(f.audit) > 0 THEN 'fail' ELSE 'pass' END AS status, count(f.audit) AS n_failures
+  FROM (SELECT DISTINCT host FROM hosts) b CROSS JOIN (SELECT unnest(['structural', 'bilingual_coverage', 'translation_quality', 'href_resolve']) AS audit) a
+  LEFT JOIN every f ON f.book_id = b.host AND f.audit = a.audit GROUP BY b.host, a.audit
+)"""
+_FILES = """paths AS (SELECT *, 'text/p_' || pos || '.xhtml' AS href FROM entries), there AS (
+  SELECT book_id, 'chapters/' || id || '_translation.txt' AS name FROM paths WHERE pos % 3 = 0 UNION SELECT book_id, 'chapters/' || translation_id || '_translation.txt' FROM paths WHERE pos % 2 = 0 AND translation_id IS NOT NULL
+  UNION SELECT book_id, href FROM paths WHERE pos % 5 = 0 UNION SELECT book_id, 'chapters/' || id || '.html' FROM paths WHERE pos % 4 = 0)"""
+
 ORACLE = {
     "whitespace_clean": f"SELECT doc_id, md5({sql_clean('text')}) AS cleaned_md5, length({sql_clean('text')}) AS n FROM documents",
     "first_text": f"SELECT doc_id, nullif(left({sql_clean('text')}, 80), '') AS first_text FROM documents",
@@ -358,8 +512,33 @@ SELECT conv_id, turn, CASE WHEN trim(target, ' ') = '' THEN 'empty' ELSE array_t
 SELECT item, n, text, CASE WHEN regexp_matches(out, '{HAN}') OR {_IDENT('text')} THEN out ELSE '譯文：' || out END AS target, translate AND candidate IS NULL AS unpaired FROM z""",
     "quality_gate": f"WITH {LINES}, {QUALITY} SELECT * FROM failed",
     "coverage_gate": f"WITH {LINES}, {QUALITY} SELECT * FROM uncovered",
-    "audit_suite": f"WITH {LINES}, {QUALITY}, {SUITE} SELECT * FROM suite",
-    "suite_passed": f"WITH {LINES}, {QUALITY}, {SUITE} SELECT book_id, bool_and(status <> 'fail') AS passed, count(*) FILTER (status = 'fail') AS n_failed FROM suite GROUP BY book_id",
+    "audit_suite": f"WITH {SPINE}, {STRUCTURAL}, {_LINKS}, {_SUITE} SELECT * FROM suite",
+    "suite_passed": f"WITH {SPINE}, {STRUCTURAL}, {_LINKS}, {_SUITE} SELECT book_id, bool_and(status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS n_failed FROM suite GROUP BY book_id",
+    "structural_gate": f"WITH {SPINE}, {STRUCTURAL} SELECT book_id, CAST(seq AS BIGINT) AS seq, path, message FROM structural",
+    "register_rules": """WITH d AS (SELECT DISTINCT lang, source FROM documents), r AS (SELECT *, CASE WHEN lang = 'fr' THEN 'narrative' WHEN source = 'src2' THEN NULL WHEN lang = 'en' THEN 'fiction' WHEN lang = 'de' THEN 'academic' END AS register_id FROM d)
+SELECT lang, source, register_id, CASE register_id WHEN 'fiction' THEN 'Short.' WHEN 'narrative' THEN 'Keep dates.' ELSE 'Plain words.' END AS rules FROM r""",
+    "ratio_gate": f"""WITH {LINES}, {QUALITY} SELECT book_id, CAST(seq AS BIGINT) AS seq, 'too short: ' || left(q.text, 120) AS message FROM quality q JOIN documents d ON d.doc_id = q.book_id
+WHERE q.text <> '' AND tag = 'p' AND length(q.text) >= 50 AND target IS NOT NULL AND length(target) < (CASE WHEN lang = 'en' THEN CAST(0.22 AS DOUBLE) ELSE CAST(0.30 AS DOUBLE) END) * length(q.text)""",
+    "translation_files": f"""WITH {SPINE}, {_FILES}, c AS (SELECT book_id, id, 1 AS r, 'chapters/' || id || '_translation.txt' AS name FROM paths UNION ALL SELECT book_id, id, 2, 'chapters/' || translation_id || '_translation.txt' FROM paths WHERE translation_id IS NOT NULL)
+SELECT book_id, id, arg_min(name, r) AS name, upper(arg_min(name, r)) AS text FROM c JOIN there USING (book_id, name) GROUP BY book_id, id""",
+    "source_pages": f"""WITH {SPINE}, {_FILES}, c AS (SELECT book_id, id, 1 AS r, href AS name FROM paths UNION ALL SELECT book_id, id, 2, 'chapters/' || id || '.html' FROM paths)
+SELECT book_id, id, arg_min(name, r) AS name FROM c JOIN there USING (book_id, name) GROUP BY book_id, id""",
+    "nav_paths": f"""WITH {SPINE} SELECT book_id, CASE WHEN length(book_id) % 2 = 0 AND count(*) >= 3 THEN 'OPS/text/p_3.xhtml' WHEN length(book_id) % 3 <> 0 AND count(*) >= 5 THEN 'OPS/text/p_5.xhtml' ELSE 'OPS/nav.xhtml' END AS path FROM entries GROUP BY book_id""",
+    "ncx_paths": f"WITH {SPINE} SELECT DISTINCT book_id, 'OPS/T3.NCX' AS path FROM entries WHERE pos = 3",
+    "file_lookup": f"""WITH {SPINE}, c AS (SELECT book_id, pos, id, 1 AS r, 'a b' || (pos % 4) || '.xhtml' AS name FROM entries WHERE pos % 3 = 0 UNION ALL SELECT book_id, pos, id, 2, 'p_' || pos || '.xhtml' FROM entries UNION ALL SELECT book_id, pos, id, 3, 'p_' || (pos + 1) || '.xhtml' FROM entries)
+SELECT book_id, name, arg_min(id, pos * 10 + r) AS id FROM c GROUP BY book_id, name""",
+    "strict_nav": f"""WITH {SPINE}, h AS (SELECT * REPLACE (CASE WHEN pos % 2 = 1 THEN 'The  part ' || id ELSE first_heading END AS first_heading) FROM entries), l AS (SELECT *, CASE WHEN pos % 6 = 0 THEN '章' ELSE coalesce(map_extract(MAP {{{_LABELS}}}, first_heading)[1], map_extract(MAP {{{_LABELS}}}, {sql_clean('first_heading')})[1], '') END AS label, coalesce(nullif({sql_clean('first_heading')}, ''), 'Untitled') AS shown FROM h)
+SELECT book_id, CAST(pos AS BIGINT) AS seq, id AS path, 'no label in the target language: ' || shown || ' (override key ' || [{', '.join(f"'{x}'" for x in IDREFS)}][1 + (pos - 1) % {len(IDREFS)}] || ')' AS message FROM l WHERE {_NAV} AND (label = '' OR label = shown)""",
+    "image_gate": f"""WITH {SPINE} SELECT book_id, id AS path, 'image missing: f' || (pos % 7) || '.png' AS message FROM entries a WHERE NOT EXISTS (SELECT 1 FROM entries b WHERE b.book_id = a.book_id AND b.pos % 7 IN (1, 2) AND b.pos % 7 = a.pos % 7)""",
+    "page_headings": f"""WITH h AS (SELECT CAST(page_id AS VARCHAR) AS doc, {sql_clean("replace(replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS heading FROM pages)
+SELECT doc, heading FROM h WHERE length(heading) BETWEEN 1 AND 120 AND length(regexp_replace(heading, '[^.!?。？！]', '', 'g')) <= 1""",
+    "dom_links": """WITH x AS (SELECT CAST(page_id AS VARCHAR) AS doc, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages) SELECT doc, href FROM x""",
+    "backfilled_entries": f"""WITH {SPINE}, x AS (SELECT *, [{', '.join(f"'{x}'" for x in IDREFS)}][1 + (pos - 1) % {len(IDREFS)}] AS idref, 'text/p_' || pos || '.xhtml' AS href FROM entries), y AS (SELECT x.*, CAST(page_id * 37 % 600 AS INT) AS cc FROM x JOIN base USING (book_id, pos))
+SELECT book_id, pos, id, CASE WHEN pos % 2 <> 0 THEN idref ELSE id END AS src_idref, href AS src_href, CASE WHEN pos % 2 <> 0 THEN idref ELSE id END AS original_idref, CASE WHEN pos % 5 <> 0 THEN 'OPS/' || href ELSE href END AS original_path, href,
+  CASE WHEN pos % 2 = 0 THEN cc ELSE 0 END AS char_count, CASE WHEN pos % 4 <> 0 THEN first_heading ELSE id END AS first_heading, CASE WHEN pos % 5 <> 0 THEN output_strategy ELSE 'translate' END AS output_strategy, translation_id FROM y""",
+    "json_round_trip": f"""WITH {SPINE}, y AS (SELECT e.*, CAST(page_id * 37 % 600 AS INT) AS char_count FROM entries e JOIN base USING (book_id, pos))
+SELECT book_id, CAST(pos AS INT) AS pos, id, role, char_count, NULL::VARCHAR AS problem FROM y WHERE length(book_id) % 4 = 0
+UNION ALL SELECT DISTINCT book_id, 0, NULL, NULL, NULL, CASE length(book_id) % 4 WHEN 1 THEN 'not an object' WHEN 2 THEN 'no list spine' ELSE 'not JSON' END FROM y WHERE length(book_id) % 4 <> 0""",
     "href_resolve": f"WITH {_LINKS} SELECT page_id, seq, href, name FROM resolved",
     "href_gate": f"WITH {_LINKS} SELECT path, seq, path || ': ' || href || ' -> ' || name AS message FROM resolved WHERE length(name) % 2 <> 0",
     "register_match": """WITH d AS (SELECT DISTINCT lang, source FROM documents), r AS (SELECT *, lower(CASE lang WHEN 'en' THEN 'Plain' WHEN 'fr' THEN '記事 narrative' WHEN 'de' THEN 'precise' ELSE '' END || ' ' || source) AS q FROM d), f AS (

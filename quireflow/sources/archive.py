@@ -44,7 +44,7 @@ def package_paths(entries: DataFrame) -> DataFrame:
     return entries.select("book_id").distinct().join(named, "book_id", "left").join(found, "book_id", "left").select("book_id", F.coalesce("named", "found").alias("opf_path"))
 
 
-OPF = "metadata struct<`dc:title`:array<string>,`dc:creator`:array<string>,`dc:language`:array<string>>, manifest struct<item:array<struct<_id:string,_href:string,`_media-type`:string,_properties:string>>>, spine struct<itemref:array<struct<_idref:string,_linear:string>>>"
+OPF = "metadata struct<`dc:title`:array<string>,`dc:creator`:array<string>,`dc:language`:array<string>,meta:array<struct<_name:string,_content:string>>>, manifest struct<item:array<struct<_id:string,_href:string,`_media-type`:string,_properties:string>>>, spine struct<itemref:array<struct<_idref:string,_linear:string>>>"
 
 
 def packages(entries: DataFrame) -> DataFrame:
@@ -54,11 +54,11 @@ def packages(entries: DataFrame) -> DataFrame:
 
 
 def manifest_items(opened: DataFrame) -> DataFrame:
-    """(book_id, item_id, href, media_type, properties): paths from the archive's root; the last of equal ids counts."""
+    """(book_id, ordinal, item_id, href, media_type, properties): paths from the archive's root; the last of equal ids counts."""
     each = opened.select("book_id", "opf_path", F.posexplode("x.manifest.item").alias("ordinal", "i")).where("i._id is not null")
-    last = each.groupBy("book_id", F.col("i._id").alias("item_id")).agg(F.max_by(F.struct("opf_path", "i"), "ordinal").alias("l"))
+    last = each.groupBy("book_id", F.col("i._id").alias("item_id")).agg(F.max_by(F.struct("opf_path", "i"), "ordinal").alias("l"), F.min("ordinal").alias("ordinal"))
     href = normpath(join_path(dirname(F.col("l.opf_path")), F.coalesce(F.col("l.i._href"), F.lit(""))))
-    return last.select("book_id", "item_id", href.alias("href"), F.coalesce(F.col("l.i.`_media-type`"), F.lit("")).alias("media_type"), F.coalesce(F.col("l.i._properties"), F.lit("")).alias("properties"))
+    return last.select("book_id", "ordinal", "item_id", href.alias("href"), F.coalesce(F.col("l.i.`_media-type`"), F.lit("")).alias("media_type"), F.coalesce(F.col("l.i._properties"), F.lit("")).alias("properties"))
 
 
 def spine_rows(opened: DataFrame) -> DataFrame:
@@ -82,11 +82,12 @@ def content_documents(entries: DataFrame, opened: DataFrame, include_nav: bool =
 
 
 def cover(entries: DataFrame, opened: DataFrame) -> DataFrame:
-    """(book_id, name, content) of the cover: by property, else the first image whose id speaks of one."""
-    items = manifest_items(opened)
-    rank = F.when(F.array_contains(F.split("properties", r"\s+"), "cover-image"), 0).when(F.lower("item_id").contains("cover") & F.col("media_type").startswith("image/"), 2)
+    """(book_id, name, content) of the cover: by property, else the item that the metadata names, else the first image whose id speaks of one."""
+    named = opened.select("book_id", F.filter("x.metadata.meta", lambda m: (m["_name"] == "cover") & (F.coalesce(m["_content"], F.lit("")) != "")).alias("m"))
+    items = manifest_items(opened).join(named.select("book_id", F.get("m", F.lit(0))["_content"].alias("meant")), "book_id", "left")
+    rank = F.when(F.array_contains(F.split("properties", r"\s+"), "cover-image"), 0).when(F.col("item_id") == F.col("meant"), 1).when(F.lower("item_id").contains("cover") & F.col("media_type").startswith("image/"), 2)
     best = items.withColumn("rank", rank).where("rank is not null").join(entries.select("book_id", F.col("name").alias("href"), "content"), ["book_id", "href"])
-    return best.groupBy("book_id").agg(F.min_by(F.struct(F.col("href").alias("name"), "content"), F.struct("rank", "item_id")).alias("c")).select("book_id", "c.name", "c.content")
+    return best.groupBy("book_id").agg(F.min_by(F.struct(F.col("href").alias("name"), "content"), F.struct("rank", "ordinal")).alias("c")).select("book_id", "c.name", "c.content")
 
 
 def under(entries: DataFrame, folder: str) -> DataFrame:

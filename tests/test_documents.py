@@ -96,7 +96,7 @@ def test_gates(spark):
     lost = {r.message for r in gates.structural_failures(source, entries, out.where("idref = 'i1'"), done.limit(0)).collect()}
     assert lost == {"spine has 1 of 2", "not in the output: i2", "no translation: item_001", "cover lost"}
     assert [r.message for r in gates.preflight(entries, done, done).collect()] == ["no source page"]
-    suite = gates.suite(entries, gates.pair_failures(df))
+    suite = gates.suite(entries, {a: gates.pair_failures(df) if a == "translation_quality" else gates.pair_failures(df).limit(0) for a in gates.AUDITS})
     assert {r.audit: r.status for r in suite.collect()} == {"structural": "pass", "bilingual_coverage": "pass", "translation_quality": "fail", "href_resolve": "pass"}
     assert gates.all_passed(suite).first().passed is False
 
