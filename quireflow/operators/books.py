@@ -95,8 +95,8 @@ def headings(nodes: DataFrame) -> DataFrame:
 
 def text_sizes(nodes: DataFrame) -> DataFrame:
     """(doc, char_count): signs in all text of a page, pieces joined by one space."""
-    top = nodes.where("parent < 0").groupBy("doc").agg(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), lambda x: x != "").alias("t"))
-    return top.select("doc", F.length(F.array_join("t", " ")).alias("char_count"))
+    top = nodes.where("parent < 0 and chars > 0").groupBy("doc").agg((F.sum("chars") + F.count("*") - 1).cast("int").alias("n"))
+    return nodes.select("doc").distinct().join(top, "doc", "left").select("doc", F.coalesce("n", F.lit(0)).alias("char_count"))
 
 
 def backfilled(entries: DataFrame, legacy: bool = False) -> DataFrame:

@@ -104,3 +104,11 @@ def test_ncx_that_is_no_xml(spark):
     labels = spark.createDataFrame([("d", 2, "x/a.x", "late"), ("d", 1, "a.x", "first")], "book_id string, pos int, path string, label string")
     got = {r.book_id: r.xml for r in rewrite.patched_ncx(docs, labels).collect()}
     assert got["b"] == "<ncx>" and got["c"] is None and "first" in got["d"] and "late" not in got["d"]
+
+
+def test_nested_and_unmatched_tags_stay_small(spark):
+    deep = "<div>" * 2_000 + "x y" + "</div>" * 2_000 + "</b>" * 20_000 + "<blockquote>" * 900 + "譯" + "</blockquote>" * 900
+    n = dom.shred(spark.createDataFrame([(1, deep)], "id int, html string"), "id", "html")
+    r = n.agg(F.sum(F.length("text")).alias("t"), F.count("*").alias("n"), F.count_if("has_han").alias("h")).first()
+    assert r.n == 2_900 and r.t < 10 and r.h == 900
+    assert [x.text for x in dom.text_nodes(n).collect()] == ["譯"]
