@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
@@ -43,6 +44,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Bytes of files up to which a table is broadcast.
+SMALL = 8 << 20
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A table made by ``written``, marked for a broadcast if its files have ``SMALL`` bytes at most; a larger one is joined by a shuffle."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    size = path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(table) if size <= SMALL else table
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Remove tables made by ``written`` that no later step and no result reads."""
     for t in tables:
