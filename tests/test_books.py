@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quireflow.operators import books, dom, gates, registers, rewrite
+from quireflow.operators import books, dom, gates, pairing, registers, rewrite
 from quireflow.sources import archive
 
 ENTRY = "book_id string, pos int, id string, idref string, href string, role string, output_strategy string, reason string"
@@ -112,3 +112,12 @@ def test_nested_and_unmatched_tags_stay_small(spark):
     r = n.agg(F.sum(F.length("text")).alias("t"), F.count("*").alias("n"), F.count_if("has_han").alias("h")).first()
     assert r.n == 2_900 and r.t < 10 and r.h == 900
     assert [x.text for x in dom.text_nodes(n).collect()] == ["譯"]
+
+
+def test_first_rows_and_source_texts(spark):
+    rows = spark.createDataFrame([("a", 2, "late"), ("a", 1, "first"), ("b", 1, "only")], "k string, o int, v string")
+    assert {(r.k, r.v) for r in pairing.first_by(rows, ["k"], "o").collect()} == {("a", "first"), ("b", "only")}
+    nodes = spark.createDataFrame([("b", 3, ["src"], "two"), ("b", 1, ["src"], "one"), ("b", 4, ["src"], "one"), ("b", 2, ["src"], "譯"), ("b", 5, ["tgt"], "no"), ("b", 6, None, "no"), ("b", 7, ["src"], "")], "book_id string, pos int, classes array<string>, text string")
+    assert [(r.book_id, r.texts) for r in rewrite.source_only_texts(nodes).collect()] == [("b", ["one", "two"])]
+    n = dom.shred(spark.createDataFrame([(1, "<p>a</p><img src='x.png'><div><p>b <i>c</i></p></div>")], "id int, html string"), "id", "html")
+    assert [r.text for r in dom.paragraphs(n).orderBy("block").collect()] == ["a", "b c"]
