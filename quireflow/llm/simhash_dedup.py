@@ -79,7 +79,8 @@ def links(distinct_prints: DataFrame, bits: int = 2) -> DataFrame:
     x = F.col("u").bitwiseXOR(F.col("v"))
     shared = [[i for i in range(8) if e >> i & 1] for e in range(256)]
     home = F.get(F.array(*[F.lit(sets.index(tuple(e[:least])) if len(e) >= least else -1) for e in shared]), positions(x))
-    pairs = u.join(v, (u.s == v.s) & (u.b == v.b) & (u.u < v.v) & (shared_bytes(x) >= least) & (F.bit_count(x) <= bits) & (home == u.s))
+    # Spark takes the postings for no larger than the fingerprints, and would send them all through the driver.
+    pairs = u.hint("merge").join(v.hint("merge"), (u.s == v.s) & (u.b == v.b) & (u.u < v.v) & (shared_bytes(x) >= least) & (F.bit_count(x) <= bits) & (home == u.s))
     return pairs.select("u", "v")
 
 
@@ -99,4 +100,4 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str
     rooted = written(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("f", "component_id")
-    return prints.join(named, "f").select(F.col("k").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.hint("merge").join(named, "f").select(F.col("k").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")

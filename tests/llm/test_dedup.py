@@ -5,7 +5,8 @@ import re
 import xxhash
 
 from quireflow.llm.components import components
-from quireflow.llm.simhash_dedup import simhash_groups
+from quireflow.llm.simhash_dedup import links, simhash_groups
+from quireflow.llm.store import written
 from quireflow.llm.substring_dedup import COVERS, substring_dedup, without_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +106,12 @@ def test_simhash_as_brute_force(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in simhash_groups(odd).collect()) == [(0, 3), (3, 3), (3, 3)]
 
 
+def test_postings_do_not_pass_through_the_driver(spark):
+    prints = written(spark.range(1000).selectExpr("xxhash64(id) AS f"), "prints")
+    plan = links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "u long, v long")
     assert {r.node: r.root for r in components(e).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
