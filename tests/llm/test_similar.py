@@ -4,7 +4,7 @@ import re
 import corpus_pipeline
 import pytest
 
-from quireflow.llm import similar_sets
+from quireflow.llm import similar_sets, store
 from quireflow.llm.similar_sets import similar_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,3 +70,26 @@ def test_stage_links_by_similarity_alone(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(range(len(texts))) - gone
     assert 40 < len(gone) < 80
+
+
+def test_near_copies_are_judged_in_rounds(spark, monkeypatch):
+    """Of a group of near copies with fingerprints apart, far fewer pairs are shipped than the square of its members; the links are whole."""
+    monkeypatch.setattr(similar_sets, "AT_ONCE", 0)
+    shipped, verified = [], similar_sets._verified
+    monkeypatch.setattr(similar_sets, "_verified", lambda texts, named, pairs, *a: shipped.append(pairs.count()) or verified(texts, named, pairs, *a))
+    rng = random.Random(3)
+    w = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    texts = [t for c in [1] * 60 for t in variants(rng, w, [c])] + ["another text that is like none of the others"]
+    sets = [shingles(t) for t in texts]
+    assert sum(similarity(a, b) >= 0.8 for a in sets for b in sets) > 3000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots = {r.k: r.root for r in similar_groups(docs).collect()}
+    assert len({roots[i] for i in range(60)}) == 1 and roots[60] != roots[0]
+    assert 0 < sum(shipped) < 600
+
+
+def test_queries_leave_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with store.tidied(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == "false"
