@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireflow.llm.components import components
+from quireflow.llm.simhash_dedup import links
 from quireflow.llm.store import dropped, small, tidied, written
 from quireflow.llm.textscan import chunks, gather, words
 from quireflow.llm.word_windows import mixed, signed, window_hashes, word_hashes
@@ -55,13 +56,22 @@ def _outlines(sizes: np.ndarray, h: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (OUTLINE // 64)), pa.array(longs))
 
 
+def _prints(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Per set, its SimHash: bit i is 1 if it is set in over half of the members' mixed hashes; 0 for an empty set."""
+    prints, ends, h = np.zeros(len(sizes), np.uint64), np.cumsum(sizes), mixed(h)
+    for i in np.flatnonzero(sizes):
+        bits = np.unpackbits(h[ends[i] - sizes[i] : ends[i]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        prints[i] = np.packbits(2 * bits.sum(0, dtype=np.int64) > sizes[i], bitorder="little").view("<u8")[0]
+    return prints
+
+
 def _named(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, after, data, at in chunks(b.column(2)):
                 names, sizes, _, h = _sets(data, at, shingle)
                 rows = slice(first, after)
-                yield pa.RecordBatch.from_arrays([b.column(0)[rows], b.column(1)[rows], signed(names), pa.array(sizes.astype(np.int32)), _outlines(sizes, h)], ["k", "t", "s", "n", "o"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[rows], b.column(1)[rows], signed(names), pa.array(sizes.astype(np.int32)), signed(_prints(sizes, h)), _outlines(sizes, h)], ["k", "t", "s", "n", "f", "o"])
 
     return run
 
@@ -170,6 +180,18 @@ def _linked(texts: DataFrame, named: DataFrame, pairs: DataFrame, near: DataFram
         most *= GROWTH
 
 
+def _simhash_pairs(named: DataFrame, bits: int) -> DataFrame:
+    """Pairs of sets whose SimHashes differ in ``bits`` bits or fewer, through the positional index; sets of one SimHash are paired with the first of them."""
+    sets = named.where("n > 0").select("f", "s").distinct()
+    first = written(sets.groupBy("f").agg(F.min("s").alias("u")), "first")
+    same = sets.join(first, "f").where("s <> u").select("u", F.col("s").alias("v"))
+    u, v = first.select(F.col("f").alias("u"), F.col("u").alias("a")), first.select(F.col("f").alias("v"), F.col("u").alias("b"))
+    near = links(first.select("f"), bits).join(u, "u").join(v, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    pairs = written(same.union(near), "pairs")
+    dropped(first)
+    return pairs
+
+
 def _common(texts: DataFrame, shingle: int) -> np.ndarray:
     """Shingles common in a sample, ascending. They only set an order, so that postings stay short; any set of them gives the same links."""
     part = max(1, -(-texts.count() // SAMPLE))
@@ -179,16 +201,19 @@ def _common(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
 
 
-def similar_roots(texts: DataFrame, named: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """(node, root) of the components of all pairs of similarity ``num / den`` or more between the distinct sets of ``texts`` (t, v), which ``named`` has as (t, s, n members, o).
+def similar_roots(texts: DataFrame, named: DataFrame, shingle: int, num: int, den: int, bits: int) -> DataFrame:
+    """(node, root) of the components of all pairs of similarity ``num / den`` or more between the distinct sets of ``texts`` (t, v), which ``named`` has as (t, s, n members, f, o).
 
-    Two such sets, each in one order of the hashes, share one of their first
+    First come pairs whose SimHashes differ in ``bits`` bits or fewer. These are not all, so the
+    rest come from prefixes: two such sets, each in one order of the hashes, share one of their first
     ``(1 - num / den) * n + 1`` shingles, and their first shared one stands early enough in
     both for the rest to suffice: no pair is lost. Members of a posting are first compared
     with its smallest set alone, then all that no verified link has joined so far. Of candidates,
     those whose outlines ``o`` leave too few members in common are not verified.
     """
-    near = written(named.sparkSession.createDataFrame([], "u long, v long"), "near")
+    none = written(named.sparkSession.createDataFrame([], "u long, v long"), "near")
+    near, roots = _linked(texts, named, _simhash_pairs(named, bits), none, shingle, num, den)
+    dropped(roots)
     posted = texts.select("v").mapInArrow(_prefixes(shingle, num, den, _common(texts, shingle)), "h long, s long, n int, j int").repartition("h").dropDuplicates(["h", "s"])
     by = Window.partitionBy("h")
     shared = written(posted.withColumn("c", F.min(F.struct("n", "s", "j")).over(by)).withColumn("e", F.count("*").over(by)).where("e > 1").drop("e"), "shared")
@@ -211,7 +236,7 @@ def similar_roots(texts: DataFrame, named: DataFrame, shingle: int, num: int, de
     return roots
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (k the id, t a hash of the text, root the group).
 
     Groups are the connected components of the texts under links between those whose sets of
@@ -224,7 +249,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("t"), text.alias("v"))
     with tidied(docs.sparkSession):
-        named = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("t"), text.alias("v")).mapInArrow(_named(shingle), f"k {kind}, t long, s long, n int, o array<bigint>")
+        named = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("t"), text.alias("v")).mapInArrow(_named(shingle), f"k {kind}, t long, s long, n int, f long, o array<bigint>")
         named = written(named, "sets")
-        roots = similar_roots(texts, named, shingle, num, den)
+        roots = similar_roots(texts, named, shingle, num, den, bits)
     return named.join(roots, named.s == roots.node, "left").select("k", "t", F.coalesce("root", "s").alias("root"))

@@ -88,6 +88,14 @@ def test_near_copies_are_judged_in_rounds(spark, monkeypatch):
     assert 0 < sum(shipped) < 600
 
 
+def test_simhash_pairs_as_brute_force(spark):
+    """The stage's SimHash step finds all that is within its radius; what it leaves is for the prefixes."""
+    f = [5, 5, 7, 1 << 40, 1 << 40 | 3, (1 << 20) - 1, -1]
+    named = spark.createDataFrame([(i, x, 9) for i, x in enumerate(f)], "s long, f long, n int")
+    got = {(r.u, r.v) for r in similar_sets._simhash_pairs(named, 2).collect()}
+    assert got == {(0, 1), (0, 2), (2, 4), (3, 4)}
+
+
 def test_queries_leave_no_shuffle_files(spark):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     with store.tidied(spark):
