@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,13 +17,28 @@ from quireflow.llm.textscan import chunks, gather, words
 from quireflow.llm.word_windows import mixed, signed, window_hashes, word_hashes
 
 
-NONE = np.zeros(0, np.uint64)
-#: The order of shingles is made from about so many texts; those in a larger part of them than this come last.
-SAMPLE, COMMON = 20_000, 0.002
+#: Shingles in more texts than this part of so many come later in the order: a fixed number of texts, whatever the table has, or postings would grow with it.
+SAMPLE, COMMON = 20_000, 0.0002
+#: Those in ``STEP`` times as many come later still, ``LEVELS`` times over.
+STEP, LEVELS = 8, 8
+#: Shingles counted together; bits of a level's filter to each of its shingles, and the logarithm of all of them at most.
+COUNTED, ROOM, FILTER = 1 << 20, 8, 28
 
+#: Per level, (logarithm of its bits, the filter): a shingle's first bits are its place there.
+Filters = list[tuple[int, np.ndarray]]
 
-def _sets(data: np.ndarray, at: np.ndarray, shingle: int, common: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per row of a chunk: (name of its set, size, start in the last); the distinct shingle hashes of each row, ascending, ``common`` ones last."""
+
+def _level(h: np.ndarray, often: Filters) -> np.ndarray:
+    """In how many of the filters each hash is."""
+    out = np.zeros(len(h), np.uint8)
+    for width, bits in often:
+        place = h >> np.uint64(64 - width)
+        out += (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(np.uint8)
+    return out
+
+
+def _sets(data: np.ndarray, at: np.ndarray, shingle: int, often: Filters = []) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:  # noqa: B006
+    """Per row of a chunk: (name of its set, size, start in the last); the distinct shingle hashes of each row, ascending, those of more filters of ``often`` later."""
     out, starts, bounds = words(data, at, lower=True)
     n = np.diff(bounds)
     size = np.minimum(n, shingle)
@@ -30,8 +46,7 @@ def _sets(data: np.ndarray, at: np.ndarray, shingle: int, common: np.ndarray = N
     left = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[:-1], count)
     h = window_hashes(word_hashes(out, starts)[0], np.repeat(size, count), left)
     row = np.repeat(np.arange(len(n)), count)
-    late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
-    order = np.lexsort((h, late, row))
+    order = np.lexsort((h, _level(h, often), row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
@@ -86,12 +101,12 @@ def _new(names: np.ndarray, seen: set[int]) -> np.ndarray:
     return np.array(rows, np.int64)
 
 
-def _prefixes(shingle: int, num: int, den: int, common: np.ndarray):
+def _prefixes(shingle: int, num: int, den: int, often: Filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for _, _, data, at in chunks(b.column(0)):
-                names, sizes, starts, h = _sets(data, at, shingle, common)
+                names, sizes, starts, h = _sets(data, at, shingle, often)
                 rows = _new(names, seen)
                 rows = rows[sizes[rows] > 0]
                 least = (den - num) * sizes[rows] // den + 1
@@ -192,13 +207,51 @@ def _simhash_pairs(named: DataFrame, bits: int) -> DataFrame:
     return pairs
 
 
-def _common(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles common in a sample, ascending. They only set an order, so that postings stay short; any set of them gives the same links."""
-    part = max(1, -(-texts.count() // SAMPLE))
-    some = texts.where(F.pmod(F.xxhash64("v"), F.lit(part)) == 0)
-    sets = some.select("v").mapInArrow(_members(shingle), "s long, m array<bigint>").dropDuplicates(["s"])
-    often = sets.select(F.explode("m").alias("h")).groupBy("h").count().where(F.col("count") > COMMON * SAMPLE)
-    return np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
+def _dealt(shingle: int, ranges: int):
+    """The shingles of the texts in ``ranges`` ranges of hashes: (range, its shingles), one row a range and chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            for _, _, data, at in chunks(b.column(0)):
+                names, sizes, starts, h = _sets(data, at, shingle)
+                h = np.sort(gather(h, starts, sizes, _new(names, seen)))
+                r = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                cut = np.flatnonzero(np.diff(r, prepend=-1))
+                yield pa.RecordBatch.from_arrays([pa.array(r[cut]), pa.array([x.tobytes() for x in np.split(h, cut[1:])] if len(cut) else [], pa.binary())], ["r", "h"])
+
+    return run
+
+
+def _counted(limits: list[float]):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        h, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in group["h"]]), return_counts=True)
+        h, n = h[n > limits[0]], n[n > limits[0]]
+        return pd.DataFrame({"h": h.view(np.int64), "l": np.searchsorted(limits, n).astype(np.int32)})
+
+    return run
+
+
+def _often(texts: DataFrame, named: DataFrame, shingle: int) -> Filters:
+    """Filters of the shingles that many texts have, by whole counts. They only set an order, so that postings stay short; any filters give the same links."""
+    total = int(named.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0)
+    limits = [COMMON * SAMPLE * STEP**i for i in range(LEVELS)]
+    dealt = texts.select("v").mapInArrow(_dealt(shingle, 32 + total // COUNTED), "r long, h binary")
+    heavy = written(dealt.groupBy("r").applyInPandas(_counted(limits), "h long, l int"), "heavy")
+    by_level, out = {r.l: r["count"] for r in heavy.groupBy("l").count().collect()}, []
+    for least in range(1, LEVELS + 1):
+        n = sum(c for level, c in by_level.items() if level >= least)
+        if not n:
+            break
+        width = min(FILTER, max(6, (ROOM * n - 1).bit_length()))
+        place = F.shiftrightunsigned("h", 64 - width)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+        found = heavy.where(F.col("l") >= least).groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+        bits = np.zeros(1 << width - 6, np.uint64)
+        bits[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+        out.append((width, bits))
+    dropped(heavy)
+    return out
 
 
 def similar_roots(texts: DataFrame, named: DataFrame, shingle: int, num: int, den: int, bits: int) -> DataFrame:
@@ -214,7 +267,7 @@ def similar_roots(texts: DataFrame, named: DataFrame, shingle: int, num: int, de
     none = written(named.sparkSession.createDataFrame([], "u long, v long"), "near")
     near, roots = _linked(texts, named, _simhash_pairs(named, bits), none, shingle, num, den)
     dropped(roots)
-    posted = texts.select("v").mapInArrow(_prefixes(shingle, num, den, _common(texts, shingle)), "h long, s long, n int, j int").repartition("h").dropDuplicates(["h", "s"])
+    posted = texts.select("v").mapInArrow(_prefixes(shingle, num, den, _often(texts, named, shingle)), "h long, s long, n int, j int").repartition("h").dropDuplicates(["h", "s"])
     by = Window.partitionBy("h")
     shared = written(posted.withColumn("c", F.min(F.struct("n", "s", "j")).over(by)).withColumn("e", F.count("*").over(by)).where("e > 1").drop("e"), "shared")
 

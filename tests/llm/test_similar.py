@@ -101,3 +101,17 @@ def test_queries_leave_no_shuffle_files(spark):
     with store.tidied(spark):
         assert spark.conf.get(key) == "true"
     assert spark.conf.get(key) == "false"
+
+
+def test_texts_that_share_a_page_frame_are_no_candidates(spark, monkeypatch):
+    """Texts with words of their own in a frame that many have: their rare shingles come first, so pairs of them are not formed, and links among them are found."""
+    formed, linked = [], similar_sets._linked
+    monkeypatch.setattr(similar_sets, "_linked", lambda texts, named, pairs, *a: formed.append(pairs.count()) or linked(texts, named, pairs, *a))
+    rng = random.Random(9)
+    frame = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    texts = [" ".join(frame + [f"w{rng.randint(0, 10**6)}" for _ in range(40)]) for _ in range(36)]
+    texts += [t + " more" for t in texts[:3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots = {r.k: r.root for r in similar_groups(docs).collect()}
+    assert all(roots[36 + i] == roots[i] for i in range(3)) and len(set(roots.values())) == 36
+    assert 3 <= sum(formed) < 36
