@@ -139,6 +139,12 @@ def word_pieces(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, at, np.searchsorted(at, starts[bounds])
 
 
+#: Bytes of text handled at once; the pieces of more would take too much of a task's memory.
+WORK = 4 << 20
+#: A word put between others that are encoded in one call, so many at a time.
+BETWEEN, TOGETHER = b"0", 64
+
+
 class WordBpe:
     """A tokenizers file that drops white space between words, so that words encode alone."""
 
@@ -155,12 +161,36 @@ class WordBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo = Memo()
+        #: The id of a word that stands between others, if it has one of its own.
+        alone = self.tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids
+        self.between = alone[0] if len(alone) == 1 else None
+
+    def _each(self, pieces: list[bytes]) -> list[bytes]:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces without ``BETWEEN`` or special tokens: many to a call, told apart by the id of the word put between them."""
+        out: list[bytes] = []
+        groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        texts = [(b" " + BETWEEN + b" ").join(g).decode("utf-8", "replace") for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == self.between)
+            if len(ends) != len(g) - 1:
+                out += self._each(g)
+                continue
+            data, starts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+            out += [data[s:e] for s, e in zip(starts, [*(4 * ends).tolist(), len(data)], strict=True)]
+        return out
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(pieces), 65536):
-            texts = [p.decode("utf-8", "replace") for p in pieces[i : i + 65536]]
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for i in range(0, len(pieces), 16384):
+            some = pieces[i : i + 16384]
+            own = [self.between is None or BETWEEN in p or b"<|" in p for p in some]
+            apart, together = iter(self._each([p for p, x in zip(some, own) if x])), iter(self._joined([p for p, x in zip(some, own) if not x]))
+            out += [next(apart if x else together) for x in own]
         return out
 
 
@@ -175,7 +205,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, wi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _word_bpe(path)
         for b in batches:
-            for first, after, data, at in chunks(b.column(1)):
+            for first, after, data, at in chunks(b.column(1), WORK):
                 out, starts, bounds = word_pieces(data, at)
                 which, found = distinct(out, starts)
                 known = bpe.memo.of([p.rstrip(b" ") for p in found.to_pylist()], bpe.encode)

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from quireflow.llm.bin_packing import fullest, packed_documents, plan
+from quireflow.llm.bin_packing import WordBpe, fullest, packed_documents, plan
 from quireflow.llm.line_dedup import line_dedup
 from quireflow.llm.quality_rules import quality_filter, verdicts
 
@@ -204,3 +204,24 @@ def test_long_lines_and_many_lines(spark, tmp_path):
     got = {r.doc_id: r for r in line_dedup(spark.read.parquet(str(tmp_path / "long.parquet")), min_sites=3).collect()}
     assert got[0].text == texts[0] and got[1].text == texts[1] and got[2].text == texts[2]
     assert [got[i].text for i in (3, 4, 5)] == ["", "", ""] and got[1].n_lines == 100_001 and got[2].n_lines == 0
+
+
+def test_pieces_share_calls_of_the_library(monkeypatch):
+    """Pieces of all kinds have the ids they have alone, but most are handed over many at a time."""
+    bpe = WordBpe(PATH)
+    odd = ["a0b", "0", "00", "<|endoftext|>", "x<|endoftext|>0", "́a", "é", "ΑΣ", "İ", "٠", "０", "a b", "it's", "'", "...", "", "²", "½", "한", " "]
+    pieces = [x.encode() for w in odd for x in (w, f"w{w}", f"{w}y")] + [f"word{i}".encode() for i in range(1, 1000)]
+    alone = [np.array(bpe.tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+    asked = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **more):
+            asked.append(len(texts))
+            return self.inner.encode_batch_fast(texts, **more)
+
+    bpe.tokenizer = Counting(bpe.tokenizer)
+    assert bpe.encode(pieces) == alone
+    assert sum(asked) < len(pieces) / 2
